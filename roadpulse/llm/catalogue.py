@@ -6,12 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from roadpulse.llm.common import load
+from roadpulse.llm.mixing import mix
 from roadpulse.llm.packing import pack
+from roadpulse.llm.sharding import shard_documents
 from roadpulse.llm.tokens import token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(load(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -21,7 +31,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op3_sharding, op5_mixing, op8_token_counts, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
