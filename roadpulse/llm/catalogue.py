@@ -10,10 +10,29 @@ from roadpulse.llm.mixing import mix
 from roadpulse.llm.packing import pack
 from roadpulse.llm.sharding import shard_documents
 from roadpulse.llm.tokens import token_counts
+from roadpulse.llm.topk import top_k
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(load(spark, sf_dir, "embeddings"))
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"))
 
@@ -31,8 +50,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sharding, op5_mixing, op8_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op1_topk, op3_sharding, op5_mixing, op8_token_counts, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk": TOPK_SQL}
