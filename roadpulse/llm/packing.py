@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.llm.common import sub_batches
-from roadpulse.llm.tokens import PRE_TOKEN, Lengths, encoder, windows
+from roadpulse.llm.tokens import encoder, pieces, windows, worker_cache
 
 
 def fill(counts: list[tuple[int, int]], room: int) -> dict[int, int]:
@@ -89,7 +89,7 @@ class Packer:
         items = [self.take(longest)] if longest else []
         room = capacity - longest
         if room:
-            for length, k in fill([(x, len(q)) for x, q in sorted(self.waiting.items(), reverse=True)], room).items():
+            for length, k in fill([(x, len(q)) for x, q in self.waiting.items()], room).items():
                 items += [self.take(length) for _ in range(k)]
                 room -= length * k
         while room:  # nothing fits exactly: the longest remainder gives its first ids
@@ -111,7 +111,7 @@ class Packer:
             self.bin(self.capacity if self.tokens >= self.capacity else 1 << (self.tokens.bit_length() - 1))
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, pool: int = 1024, cache_size: int = 200_000, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, pool: int = 256, cache_size: int = 300_000, with_ids: bool = False) -> DataFrame:
     """Pack the token ids of all documents (each followed by ``end_id``) into sequences.
 
     One row for each piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset (and
@@ -124,9 +124,16 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
-        get = Lengths({}, lambda x: np.array(encode(x), "<u4").tobytes(), cache_size).__getitem__
-        packer, end = Packer(capacity, pool, TaskContext.get().partitionId() << 33, with_ids), np.array([end_id], "<u4").tobytes()
+        raw = lambda ids: array("I", ids).tobytes()
+        first, get = encoder(tokenizer_path), worker_cache("ids", tokenizer_path, {}, raw, cache_size).__getitem__
+
+        def ids_of(text: str) -> Iterator[bytes]:
+            for part in windows(text):
+                head, rest = pieces(part)
+                yield raw(first(head))
+                yield from map(get, rest)
+
+        packer, end = Packer(capacity, pool, TaskContext.get().partitionId() << 33, with_ids), raw([end_id])
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
         def rows():
@@ -140,7 +147,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
             for b in sub_batches([whole], "text", 4 << 20):
                 kind = b.column(0).type
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    packer.add(doc, b"".join([*(x for part in windows(text) for x in map(get, PRE_TOKEN.findall(part))), end]))
+                    packer.add(doc, b"".join([*ids_of(text), end]))
                 if len(packer.out) > 5000:
                     yield rows()
         packer.finish()

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from roadpulse.llm.catalogue import TOKENIZER
 from roadpulse.llm.packing import fill, pack
-from roadpulse.llm.tokens import PRE_TOKEN, token_counts, windows
+from roadpulse.llm.tokens import encoder, pieces, token_counts, windows
 
 BITS = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "\t\n ", "\x1c", " ", "a", "Word", "'s", "'re", "don't", "été", "汉字", "123", "!?", "\x85", "é́", "🙂", "_", "x" * 70]
 
@@ -40,7 +40,18 @@ def test_windows_keep_the_text():
     for t in texts():
         parts = list(windows(t or "", 7))
         assert "".join(parts) == (t or "")
-        assert [x for p in parts for x in PRE_TOKEN.findall(p)] == PRE_TOKEN.findall(t or "")
+        for p in parts:
+            first, rest = pieces(p)
+            assert " ".join([first, *rest]) == p
+
+
+def test_fast_path_equals_the_library():
+    tok, fast = Tokenizer.from_file(TOKENIZER), encoder(TOKENIZER)
+    r = random.Random(1)
+    latin = [chr(c) for c in range(1, 0x250)]
+    for _ in range(3000):
+        x = "".join(r.choices(latin if r.random() < 0.5 else "abcdefgh  éàñ'.,\n", k=r.randint(1, 20)))
+        assert fast(x) == tok.encode(x, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("seed", range(30))
