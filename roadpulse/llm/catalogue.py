@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from roadpulse.llm.common import load
+from roadpulse.llm.embedding_dedup import near_duplicates
 from roadpulse.llm.mixing import mix
 from roadpulse.llm.packing import pack
 from roadpulse.llm.sharding import shard_documents
@@ -33,6 +34,10 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 """
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op3_sharding, op5_mixing, op8_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op1_topk, op2_embedding_neardup, op3_sharding, op5_mixing, op8_token_counts, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
