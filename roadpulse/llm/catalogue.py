@@ -10,6 +10,7 @@ from roadpulse.llm.embedding_dedup import near_duplicates
 from roadpulse.llm.mixing import mix
 from roadpulse.llm.packing import pack
 from roadpulse.llm.sharding import shard_documents
+from roadpulse.llm.simhash import simhash_groups
 from roadpulse.llm.tokens import token_counts
 from roadpulse.llm.topk import top_k
 
@@ -46,6 +47,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(load(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -55,7 +60,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op2_embedding_neardup, op3_sharding, op5_mixing, op8_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op1_topk, op2_embedding_neardup, op3_sharding, op5_mixing, op7_simhash, op8_token_counts, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
