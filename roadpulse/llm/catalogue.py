@@ -11,6 +11,7 @@ from roadpulse.llm.mixing import mix
 from roadpulse.llm.packing import pack
 from roadpulse.llm.sharding import shard_documents
 from roadpulse.llm.simhash import simhash_groups
+from roadpulse.llm.suffix_dedup import remove_repeats
 from roadpulse.llm.tokens import token_counts
 from roadpulse.llm.topk import top_k
 
@@ -43,6 +44,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,7 +65,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op2_embedding_neardup, op3_sharding, op5_mixing, op7_simhash, op8_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op1_topk, op2_embedding_neardup, op3_sharding, op4_suffix_dedup, op5_mixing, op7_simhash, op8_token_counts, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
