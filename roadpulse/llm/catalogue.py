@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadpulse.llm.common import load
 from roadpulse.llm.embedding_dedup import near_duplicates
+from roadpulse.llm.language_id import identify
 from roadpulse.llm.mixing import mix
 from roadpulse.llm.packing import pack
 from roadpulse.llm.sharding import shard_documents
@@ -14,6 +15,7 @@ from roadpulse.llm.simhash import simhash_groups
 from roadpulse.llm.suffix_dedup import remove_repeats
 from roadpulse.llm.tokens import token_counts
 from roadpulse.llm.topk import top_k
+from roadpulse.llm.toxicity import toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -52,6 +54,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(load(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(load(spark, sf_dir, "documents"))
 
@@ -64,8 +70,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op2_embedding_neardup, op3_sharding, op4_suffix_dedup, op5_mixing, op7_simhash, op8_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op1_topk, op2_embedding_neardup, op3_sharding, op4_suffix_dedup, op5_mixing, op6_language_id, op7_simhash, op8_token_counts, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
