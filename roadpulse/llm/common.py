@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import roadpulse
@@ -56,6 +56,25 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             yield b.slice(at, rows)
 
 
+def bitmap_words(hashes: DataFrame, column: str, bits: int) -> DataFrame:
+    """(word, bit): a bitmap with a place for each value modulo ``bits``, as at most bits / 64 words."""
+    slot = F.pmod(F.col(column), F.lit(bits))
+    return hashes.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
+
+
+def mark(scratch: Scratch, df: DataFrame, key: Column, keys: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """``df`` with a column ``_hit``: true wherever ``key`` is in ``keys`` (one column), rarely elsewhere.
+
+    Rows that are not hit need no join, so long texts stay where they are.  What is broadcast is a bitmap
+    of ``bits`` places, whatever the number of keys; with very many keys more rows are hit.
+    """
+    words = scratch.put(bitmap_words(keys.select(F.xxhash64(keys.columns[0]).alias("_k")), "_k", bits).select(F.col("word").alias("_word"), F.col("bit").alias("_bit")), "bitmap")
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    bit = F.call_function("shiftright", F.coalesce("_bit", F.lit(0).cast("long")), F.pmod(slot, F.lit(64)).cast("int")).bitwiseAND(F.lit(1))
+    out = df.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(words), "_word", "left")
+    return out.withColumn("_hit", bit == 1).drop("_word", "_bit")
+
+
 def components(scratch: Scratch, edges: DataFrame, kind: str = "long") -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, root) for each node of an edge, root
     being the smallest node of its component.

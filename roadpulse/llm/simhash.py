@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch, components, sub_batches
+from roadpulse.llm.common import Scratch, components, mark, sub_batches
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bit k of a byte, in byte k of a word: sums of up to 255 such words count eight bits at once.
@@ -30,14 +30,20 @@ def shingles(text: bytes, n: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[: -n + 1 or None].tolist(), ends[n - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: str, n: int, seeds: list[int]) -> bytes:
-    """Of each seed 8 bytes, the first the most significant: a bit is 1 if over half of the shingles' XXH64 have it."""
+def fingerprint(text: str, n: int, words: int = 1, seed: int = 42) -> bytes:
+    """8 bytes, the most significant first: a bit is 1 if over half of the shingles' XXH64 have it.
+    Each of further ``words`` takes the hashes mixed once more."""
     found, out = shingles(text.encode(), n), b""
-    for seed in seeds:
-        if not found:
-            out += bytes(8)
-            continue
-        h = np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in found]), np.uint8).reshape(-1, 8)
+    if not found:
+        return bytes(8 * words)
+    h = np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in found]), np.uint8).reshape(-1, 8)
+    for _ in range(words):
+        if out:
+            with np.errstate(over="ignore"):
+                z = h.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+                z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                h = (z ^ z >> np.uint64(31)).view(np.uint8).reshape(-1, 8)
         count = np.add.reduceat(SPREAD[h], np.arange(0, len(h), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
         out += np.packbits(2 * count > len(h), bitorder="little").tobytes()
     return out
@@ -50,9 +56,12 @@ def pigeonhole(bits: int, radius: int) -> list[np.ndarray]:
     return [np.concatenate(x) for x in combinations(blocks, 2)]
 
 
-def sampled(bits: int, tables: int, size: int, seed: int) -> list[np.ndarray]:
-    r = np.random.default_rng(seed)
-    return [np.sort(r.choice(bits, size, replace=False)) for _ in range(tables)]
+def sampled(bits: int, n: int, radius: int, recall: float, seed: int) -> list[np.ndarray]:
+    """Random sets of bit positions, for ``n`` fingerprints of which some 16 agree on one by chance, and
+    so many that two fingerprints ``radius`` apart agree on all bits of one with probability ``recall``."""
+    r, size = np.random.default_rng(seed), max(12, int(np.ceil(np.log2(max(1, n) / 16))))
+    one = (1 - radius / bits) ** size
+    return [np.sort(r.choice(bits, size, replace=False)) for _ in range(int(np.ceil(np.log(1 - recall) / np.log(1 - one))))]
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -178,13 +187,13 @@ def link_groups(fps: np.ndarray, group: np.ndarray, radius: int, small: int = 48
     return label
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, seeds: list[int]) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, words: int, seed: int) -> DataFrame:
     """(id, fp) of every whole text."""
 
     def run(batches):
         for whole in batches:
             for b in sub_batches([whole], "text", 4 << 20):
-                fps = [fingerprint(t or "", shingle, seeds) for t in b.column(1).to_pylist()]
+                fps = [fingerprint(t or "", shingle, words, seed) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -248,10 +257,11 @@ def _linker(radius: int, flush: int = 1 << 17):
     return run
 
 
-def groups(scratch: Scratch, prints: DataFrame, radius: int, sets: list[np.ndarray], part_rows: int = 8192) -> DataFrame:
+def groups(scratch: Scratch, prints: DataFrame, radius: int, bits: int, recall: float | None, seed: int, part_rows: int = 8192) -> DataFrame:
     """(fp, component_id) of the fingerprints of ``prints`` (id, fp): the smallest id of those that links join."""
     spark = scratch.spark
     distinct = scratch.put(prints.groupBy("fp").agg(F.min("id").alias("first")).withColumn("uid", F.monotonically_increasing_id()), "distinct")
+    sets = pigeonhole(bits, radius) if recall is None else sampled(bits, distinct.count(), radius, recall, seed)
     rows = _candidates(distinct.select("uid", "fp"), sets)
     large = scratch.put(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * part_rows).select("t", "key", F.ceil(F.col("n") / part_rows).cast("int").alias("parts")), "large")
     if large.isEmpty():
@@ -269,22 +279,39 @@ def groups(scratch: Scratch, prints: DataFrame, radius: int, sets: list[np.ndarr
     return named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, words: int = 1, tables: int | None = None, table_bits: int = 14, seed: int = 42) -> DataFrame:
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, words: int = 1, recall: float | None = None, seed: int = 42) -> DataFrame:
     """Groups of documents whose SimHash fingerprints are joined by links of ``radius`` bits or less.
 
-    A fingerprint has 64 * ``words`` bits, from XXH64 with seeds ``seed``, ``seed`` + 1, ... of the shingles of
-    ``shingle`` words.  Equal fingerprints are one node.  Nodes meet where they agree on a set of bits:
-    without ``tables``, sets from the pigeonhole principle, which miss no link; else so many random
-    sets of ``table_bits`` bits, which find a link of distance d with probability
-    1 - (1 - (1 - d / bits)^table_bits)^tables.  Nodes that met are compared bit-sliced; a task reports no
-    more links than it takes to join what is linked.  Groups of any size are dealt out in parts.
+    A fingerprint has 64 * ``words`` bits, from the XXH64 (``seed``) of the shingles of ``shingle`` words.  Equal
+    fingerprints are one node.  Nodes meet where they agree on a set of bits: without ``recall``, sets
+    from the pigeonhole principle, which miss no link; else random sets, so many that a link of the full
+    radius is found with that probability (a closer one more surely), for radii that blocks can't serve.
+    Nodes that met are compared bit-sliced; a task reports no more links than it takes to join what
+    is linked.  Groups of any size are dealt out in parts.
 
     Returns ``id_col``, fingerprint (hex digits, the most significant first), component_id (smallest
     id reachable, itself included).  Null and empty texts have fingerprint zero, linked like any other; null
     ids are passed over in the minimum; rows may repeat; other columns are not carried.
     """
     scratch = Scratch(df.sparkSession, "simhash")
-    prints = scratch.put(fingerprints(df, id_col, text_col, shingle, list(range(seed, seed + words))), "prints")
-    sets = pigeonhole(64 * words, radius) if tables is None else sampled(64 * words, tables, table_bits, seed)
-    found = groups(scratch, prints, radius, sets)
+    prints = scratch.put(fingerprints(df, id_col, text_col, shingle, words, seed), "prints")
+    found = groups(scratch, prints, radius, 64 * words, recall, seed)
     return prints.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``df``, all columns, that are the first of their group in ``simhash_groups``.
+
+    Of rows with the same id and group one stays, whichever.  Rows without an id are no one's copy and
+    stay.  Only rows to be dropped, and a few others, take part in a join; the rest stay where they are.
+    """
+    scratch = Scratch(df.sparkSession, "first")
+    found = scratch.put(simhash_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, **how).select(F.col(id_col).alias("_id"), "component_id"), "found")
+    count = found.groupBy("_id").agg(F.min("component_id").alias("_first"), F.count("*").alias("_n"))
+    count = scratch.put(count.where("_id <> _first or _n > 1"), "others")
+    rows = mark(scratch, df, F.col(id_col), count.select("_id"))
+    stay = rows.where(~F.col("_hit") | F.col(id_col).isNull()).select(*df.columns)
+    asked = rows.where(F.col("_hit") & F.col(id_col).isNotNull()).join(count, F.col(id_col) == F.col("_id"), "left")
+    once = asked.where("_id is null").select(*df.columns)
+    first = asked.where("_id = _first").dropDuplicates(["_id"]).select(*df.columns)
+    return stay.unionByName(once).unionByName(first)

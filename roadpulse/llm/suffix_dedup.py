@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch, sub_batches
+from roadpulse.llm.common import Scratch, bitmap_words, mark, sub_batches
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TURN = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -165,6 +165,8 @@ def repeated(texts: list[bytes], owned: list[int], length: int) -> list[np.ndarr
     p = np.flatnonzero(phi >= 0)
     p = p[h[p] == h[phi[p]]]
     q = phi[p]
+    if not len(p):
+        return [np.zeros(k, bool) for k in owned]
     goes_on = np.r_[False, (p[1:] == p[:-1] + 1) & (q[1:] == q[:-1] + 1)]
     same = np.zeros(len(p), bool)
     same[goes_on] = t[p[goes_on] + length - 1] == t[q[goes_on] + length - 1]
@@ -180,7 +182,7 @@ def repeated(texts: list[bytes], owned: list[int], length: int) -> list[np.ndarr
 
     compare(np.flatnonzero(~goes_on))
     chain = np.cumsum(~goes_on)
-    broken = np.bincount(chain, ~same, minlength=int(chain[-1]) + 1 if len(chain) else 1) > 0
+    broken = np.bincount(chain, ~same, minlength=int(chain[-1]) + 1) > 0
     compare(np.flatnonzero(broken[chain]))
     hit = np.zeros(len(t), bool)
     hit[p[same]] = True
@@ -352,12 +354,6 @@ def _match(length: int, batch_bytes: int, most_bytes: int):
     return run
 
 
-def bitmap_words(values: DataFrame, column: str, bits: int) -> list:
-    """(word, bits set in it) of a bitmap with a place for each value modulo ``bits``: at most bits / 64 rows."""
-    slot = F.pmod(F.col(column), F.lit(bits))
-    return values.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
-
-
 def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch, bitmap_bits: int = 1 << 26, batch_bytes: int = 2 << 20, most_bytes: int = 12 << 20) -> DataFrame:
     """(key, spans): bytes of each distinct text (key: 16 bytes of its SHA-256) that lie in windows which
     also start elsewhere in the distinct texts.
@@ -381,42 +377,41 @@ def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch,
     return found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, decode: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Remove each byte of a text that lies in ``length`` bytes which also start anywhere else.
 
     Texts are UTF-8 bytes (null: empty); matches never cross documents; repeats in the same document
     count and may overlap; all is judged on the input.  Rows with equal texts of ``length`` bytes or more
     repeat each other wholly.  Returns ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept_sha256 and, with ``with_text``, kept (binary: a cut may part a character).  Ids may be null or
-    repeat; other columns are not carried; no rows give no rows.
+    kept_sha256, with ``with_text`` kept (binary, as a cut may part a character; with ``decode`` a string
+    without parted characters), and the columns of ``carry``.  Ids may be null or repeat; other columns are not carried; no rows give no rows.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "suffix")
     spans = repeated_spans(df, text_col, length, scratch)
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    shape = "string" if decode else "binary"
+    more = {f"c{k}": name for k, name in enumerate(carry or [])}
+    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *(F.col(name).alias(c) for c, name in more.items()))
     docs = docs.withColumn("sha", F.sha2("text", 256)).withColumn("key", F.unhex(F.substring("sha", 1, 32)))
     copies = docs.where(F.length("text") >= length).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("whole"))
     spans = scratch.put(spans.join(copies, "key", "full").select("key", "spans", F.coalesce("whole", F.lit(False)).alias("whole")), "spans")
-    # Texts without a removed byte stay where they are: a bitmap of 2^22 places tells most of them.
-    place = F.pmod(F.xxhash64("key"), F.lit(1 << 22))
-    words_ = F.broadcast(scratch.put(bitmap_words(spans.select(F.xxhash64("key").alias("k")), "k", 1 << 22).withColumnRenamed("bit", "mask"), "bitmap"))
-    flagged = docs.withColumn("word", F.shiftright(place, 6)).join(words_, "word", "left")
-    hit = F.call_function("shiftright", F.coalesce("mask", F.lit(0).cast("long")), F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    flagged = flagged.withColumn("hit", hit).drop("word", "mask")
-    kind = df.schema[id_col].dataType.simpleString()
-    tail = ["kept"] if with_text else []
-    some = flagged.where("hit").join(spans, "key", "left").select("id", "text", "sha", "spans", "whole")
-    some = some.mapInArrow(_cut(with_text), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
-    rest = flagged.where(~F.col("hit")).select("id", F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), *([F.col("text").alias("kept")] if with_text else []))
-    return some.unionByName(rest).select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *tail)
-
-
-def _cut(with_text: bool):
+    # Texts without a removed byte stay where they are.
+    flagged = mark(scratch, docs, F.col("key"), spans.select("key"))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    digest = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
+    some = flagged.where("_hit").join(spans, "key", "left").select("text", "sha", "spans", "whole", "id", *more)
+    some = some.mapInArrow(_cut(with_text, decode), "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", kept {shape}" * with_text + "".join(f", {c} {kinds[c]}" for c in ("id", *more)))
+    zero, whole = F.lit(0).cast("long"), F.col("text").cast(shape)
+    rest = flagged.where(~F.col("_hit")).select(F.length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), *([whole.alias("kept")] if with_text else []), "id", *more)
+    return some.unionByName(rest).select(F.col("id").alias(id_col), *digest, *(F.col(c).alias(name) for c, name in more.items()))
+
+
+def _cut(with_text: bool, decode: bool):
     def run(batches):
         for whole in batches:
             for b in sub_batches([whole], "text"):
                 out = []
-                for text, sha, spans, all_ in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+                for text, sha, spans, all_ in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                     spans = [(0, len(text))] if all_ and text else merged([(s["a"], s["b"]) for s in spans or []])
                     if spans:
                         ends = [0, *(e for _, e in spans)]
@@ -424,10 +419,11 @@ def _cut(with_text: bool):
                         sha = hashlib.sha256(kept).hexdigest()
                     else:
                         kept = text
-                    out.append((len(text), len(text) - len(kept), len(spans), sha, *([kept] if with_text else [])))
+                    out.append((len(text), len(text) - len(kept), len(spans), sha, *([kept.decode(errors="ignore") if decode else kept] if with_text else [])))
                 cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols) + 1]
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False))], names)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if decode else pa.binary()]
+                names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols)]
+                tail = b.schema.names[4:]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), *b.columns[4:]], [*names, *tail])
 
     return run

@@ -229,3 +229,17 @@ def toxicity(
     out = df.select(F.col(id_col).alias("id"), (fold_of == fold).alias("held_out"), F.col(text_col).alias("text"))
     out = out.mapInArrow(run, f"id {kind}, held_out boolean, score double" + ", passages array<struct<first:int,last:int,strength:double>>" * with_passages)
     return out.select(F.col("id").alias(id_col), "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), *(["passages"] if with_passages else []))
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, fold: int = 1, threshold: float = 0.7, sample_rows: int = 20_000, table_size: int = 20_000, drift: float = 0.2, seed: int = 42) -> DataFrame:
+    """The rows of ``df``, all columns, whose score in ``toxicity`` is below ``threshold``; nothing is shuffled."""
+    model = df.sparkSession.sparkContext.broadcast(train(df, labels, id_col, text_col, label_col, folds, fold, sample_rows, table_size, drift, seed))
+
+    def run(batches):
+        scores = model.value.scorer()
+        for whole in batches:
+            for b in sub_batches([whole], text_col, 4 << 20):
+                texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+                yield b.filter(pa.array([model.value.probability(scores(t or ""))[0] < threshold for t in texts]))
+
+    return df.mapInArrow(run, df.schema)
