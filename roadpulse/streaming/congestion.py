@@ -32,13 +32,12 @@ def stream_states(df: DataFrame, reference: DataFrame, config: CongestionConfig,
 TRACE = "driver_id string, first_seq long, last_seq long, n_points int, started_at timestamp, ended_at timestamp"
 
 
-def stream_traces(df: DataFrame, config: TraceConfig, idle: str = "2 minutes") -> DataFrame:
+def stream_traces(df: DataFrame, config: TraceConfig, idle_seconds: float = 120.0, late: str = "1 minute") -> DataFrame:
     """Traces of a stream (driver_id, arrival_seq, recorded_at) under the rule of ``buffered_traces``.
 
-    A driver's state is what the buffer holds; it is dropped after ``idle`` without a point.
+    A driver's state is what the buffer holds; it is dropped when the watermark is ``idle_seconds`` past its last point.
     """
-    span = int(config.max_seconds * 1_000_000)
-    minutes = int(idle.split()[0]) * 60_000
+    span, idle = int(config.max_seconds * 1_000_000), int(idle_seconds * 1000)
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -54,12 +53,13 @@ def stream_traces(df: DataFrame, config: TraceConfig, idle: str = "2 minutes") -
                 out.append((key[0], buf[0][0], buf[-1][0], len(buf), buf[0][1], buf[-1][1]))
                 buf = buf[len(buf) - min(config.overlap, len(buf)) :]
         state.update(([s for s, _ in buf], [t for _, t in buf]))
-        state.setTimeoutDuration(minutes)
+        last = buf[-1][1] // 1000 if buf else state.getCurrentWatermarkMs()
+        state.setTimeoutTimestamp(max(last + idle, state.getCurrentWatermarkMs() + 1))
         if out:
             made = pd.DataFrame(out, columns=["driver_id", "first_seq", "last_seq", "n_points", "started_at", "ended_at"])
             for c in ("started_at", "ended_at"):
                 made[c] = pd.to_datetime(made[c], unit="us")
             yield made
 
-    keyed = df.select("driver_id", "arrival_seq", F.unix_micros("recorded_at").alias("t"))
-    return keyed.groupBy("driver_id").applyInPandasWithState(step, TRACE, "seqs array<long>, times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = df.withWatermark("recorded_at", late).select("driver_id", "arrival_seq", "recorded_at", F.unix_micros("recorded_at").alias("t"))
+    return keyed.groupBy("driver_id").applyInPandasWithState(step, TRACE, "seqs array<long>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)

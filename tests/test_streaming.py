@@ -15,9 +15,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def drain(spark, df, name):
-    q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
     return spark.table(name)
 
 
