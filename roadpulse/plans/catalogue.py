@@ -337,7 +337,7 @@ def edge_oneway_counts(spark, sf_dir):
 
 
 @query("SELECT event_id, map_from_entries(list_zip(['kind', 'value', 'n'][1:m], [event_type, CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR)][1:m]))['kind'] AS kind, least(3, m) AS n_fields FROM (SELECT *, 1 + event_id % 3 AS m FROM events)")
-def tile38_field_zip(spark, sf_dir):
+def field_zip(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     values = F.slice(F.array("event_type", F.col("user_id").cast("string"), F.col("event_id").cast("string")), 1, 1 + F.col("event_id").cast("int") % 3)
     fields = edges.zip_fields(F.array(*map(F.lit, ("kind", "value", "n"))), values)
