@@ -264,20 +264,39 @@ def _first_scan(length: int):
     return run
 
 
-def _second_scan(length: int, bitmap):
-    """(h, key, start, seg): runs whose anchor is in the bitmap, with the bytes of their windows."""
+def _inside(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h % np.uint64(len(bits) * 64)
+    return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _hot_scan(length: int, hot):
+    """(x, y, key, start): two hashes of every window of the runs whose anchor is in the bitmap."""
+
+    def run(batches):
+        for key, data, h, first, last, _ in _scan(batches, length):
+            runs = np.flatnonzero(_inside(hot.value, h))
+            if not len(runs):
+                continue
+            t = np.frombuffer(data, np.uint8)
+            at = np.concatenate([np.arange(first[k], last[k]) for k in runs.tolist()])
+            x, y = rolling(t, length)[at], rolling(t[::-1], length)[::-1][at]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.ascontiguousarray(y).view(np.int64)), pa.array([key] * len(at), pa.binary()), pa.array(at.astype(np.int64))], ["x", "y", "key", "start"])
+
+    return run
+
+
+def _second_scan(length: int, bitmap, hot):
+    """(h, key, start, seg): runs whose anchor is in ``bitmap`` and not in ``hot``, with the bytes of their windows."""
 
     def run(batches):
-        bits, out, size = bitmap.value, [], 0
+        out, size = [], 0
 
         def rows():
             cols = list(zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["h", "key", "start", "seg"])
 
-        slots = np.uint64(len(bits) * 64)
         for key, data, h, first, last, _ in _scan(batches, length):
-            slot = h % slots
-            for k in np.flatnonzero(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).tolist():
+            for k in np.flatnonzero(_inside(bitmap.value, h) & ~_inside(hot.value, h)).tolist():
                 seg = data[first[k] : last[k] - 1 + length]
                 out.append((int(h[k].view(np.int64)), key, int(first[k]), seg))
                 size += len(seg)
@@ -354,7 +373,7 @@ def _match(length: int, batch_bytes: int, most_bytes: int):
     return run
 
 
-def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch, bitmap_bits: int = 1 << 26, batch_bytes: int = 2 << 20, most_bytes: int = 12 << 20) -> DataFrame:
+def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch, bitmap_bits: int = 1 << 26, hot_runs: int = 20_000, batch_bytes: int = 2 << 20, most_bytes: int = 12 << 20) -> DataFrame:
     """(key, spans): bytes of each distinct text (key: 16 bytes of its SHA-256) that lie in windows which
     also start elsewhere in the distinct texts.
 
@@ -363,21 +382,36 @@ def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch,
     2. Texts are read again, and runs with a marked anchor go to the task of their anchor with their
        bytes.  Equal windows have equal anchors, so no match is lost; a false mark costs time only.
     3. There, runs of whole anchor groups fill a buffer, whose suffix array shows the repeats.
+
+    An anchor of over ``hot_runs`` runs, as a passage that very many texts share has, would be too much for a
+    task.  Windows of such runs are dealt out one by one, by two hashes of their bytes, and counted.
     """
     spark, sc = scratch.spark, scratch.spark.sparkContext
     texts = df.select(F.col(text_col).cast("binary").alias("text")).where(F.length("text") >= length)
-    met = texts.mapInArrow(_first_scan(length), "h long, who long").groupBy("h").agg(F.min("who").alias("x"), F.max("who").alias("y")).where("x <> y")
-    marked = np.zeros(bitmap_bits >> 6, np.uint64)
-    # The bits of a negative number modulo 2^26 are its last 26, as in the unsigned number.
-    for word, bit in bitmap_words(met, "h", bitmap_bits).collect():
-        marked[word] = np.uint64(bit & 0xFFFFFFFFFFFFFFFF)
-    runs = texts.mapInArrow(_second_scan(length, sc.broadcast(marked)), "h long, key binary, start long, seg binary")
+    met = texts.mapInArrow(_first_scan(length), "h long, who long").groupBy("h").agg(F.min("who").alias("x"), F.max("who").alias("y"), F.count("*").alias("n"))
+    met = scratch.put(met.where("x <> y").select("h", "n"), "anchors")
+
+    def bitmap(values: DataFrame, bits: int):
+        out = np.zeros(bits >> 6, np.uint64)
+        # The last bits of a negative number are those of the unsigned one.
+        for word, bit in bitmap_words(values, "h", bits).collect():
+            out[word] = np.uint64(bit & 0xFFFFFFFFFFFFFFFF)
+        return sc.broadcast(out)
+
+    many = met.where(F.col("n") > hot_runs)
+    hot = bitmap(many, 1 << 22)
+    runs = texts.mapInArrow(_second_scan(length, bitmap(met, bitmap_bits), hot), "h long, key binary, start long, seg binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.put(runs.repartition(n, "h").sortWithinPartitions("h", "key", "start").mapInArrow(_match(length, batch_bytes, most_bytes), "key binary, a long, b long"), "matches")
+    if not many.isEmpty():
+        each = scratch.put(texts.mapInArrow(_hot_scan(length, hot), "x long, y long, key binary, start long"), "windows")
+        place = F.struct("key", "start")
+        twice = each.groupBy("x", "y").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("x", "y")
+        found = found.unionByName(each.join(twice, ["x", "y"]).select("key", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
     return found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, decode: bool = False, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, decode: bool = False, carry: list[str] | None = None, **how) -> DataFrame:
     """Remove each byte of a text that lies in ``length`` bytes which also start anywhere else.
 
     Texts are UTF-8 bytes (null: empty); matches never cross documents; repeats in the same document
@@ -388,7 +422,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "suffix")
-    spans = repeated_spans(df, text_col, length, scratch)
+    spans = repeated_spans(df, text_col, length, scratch, **how)
     shape = "string" if decode else "binary"
     more = {f"c{k}": name for k, name in enumerate(carry or [])}
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *(F.col(name).alias(c) for c, name in more.items()))

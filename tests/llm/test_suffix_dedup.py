@@ -75,11 +75,11 @@ def corpus(n):
     return out
 
 
-@pytest.mark.parametrize("n,batch", [(32, 2 << 20), (400, 3000)])
-def test_equals_brute_force(spark, n, batch):
+@pytest.mark.parametrize("n,how", [(32, {}), (400, {}), (32, {"batch_bytes": 500, "most_bytes": 900}), (32, {"hot_runs": 4}), (32, {"bitmap_bits": 1 << 10})])
+def test_equals_brute_force(spark, n, how):
     texts = corpus(n)
     df = spark.createDataFrame([(None if i == 3 else i % 100, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, key string").repartition(3)
-    got = remove_repeats(df, length=n, with_text=True).collect()
+    got = remove_repeats(df, length=n, with_text=True, **how).collect()
     want = Counter((None if i == 3 else i % 100, *x) for i, x in enumerate(brute(texts, n)))
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
