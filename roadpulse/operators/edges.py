@@ -124,8 +124,10 @@ def distance_limit(edges: DataFrame, target_m: float, page: int = 100, collectio
     that reaches the target stays whole.
     """
     placed = running(edges, [collection, order], F.lit(0))
-    begin = F.broadcast(placed.groupBy(collection).agg(F.min("rn").alias("_b")))  # a row for each collection
-    paged = first_of_id(placed.drop("total").join(begin, collection), ["rn"])
+    # A row for each collection: the rows of those before it.
+    before = W.partitionBy(F.lit(1)).orderBy(collection).rowsBetween(W.unboundedPreceding, -1)
+    begin = edges.groupBy(collection).agg(F.count("*").alias("_k")).select(collection, (F.coalesce(F.sum("_k").over(before), F.lit(0)) + 1).alias("_b"))
+    paged = first_of_id(placed.drop("total").join(F.broadcast(begin), collection), ["rn"])
     paged = paged.withColumn("_n", F.col("rn")).withColumn("_page", F.struct(F.col(collection).alias("c"), F.floor((F.col("rn") - F.col("_b")) / page).alias("p"))).drop("rn", "_b")
     # The first place of each physical edge decides where its length enters.
     counts = F.col("distance_m") > 0
