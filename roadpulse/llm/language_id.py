@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.llm.common import Scratch, sub_batches
+from roadpulse.llm.tokens import worker_store
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -45,73 +47,94 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict[str, list[int]], trigrams: dict[str, list[int]], scripts: dict[str, list[int]], worst: float = 8.0) -> None:
         self.langs, self.worst, n = langs, worst, len(langs)
-        self.words = self._logs(words, 0.1)
-        self.trigrams = self._logs(trigrams, 0.5)
+        self.words, self.trigrams = ({x: k for k, x in enumerate(t)} for t in (words, trigrams))
+        self.word_logs, self.trigram_logs = self._logs(words, 0.1, n), self._logs(trigrams, 0.5, n)
         total = np.sum(list(scripts.values()), axis=0) if scripts else np.ones(n)
-        self.candidates = {s: np.array(c) > 0.01 * np.maximum(total, 1) for s, c in scripts.items()}
+        names = list(scripts)
+        #: Which languages are written in a script; the last row is for scripts that none is.
+        self.scripts = {x: k for k, x in enumerate(names)}
+        self.able = np.array([*(np.array(scripts[x]) > 0.01 * np.maximum(total, 1) for x in names), np.zeros(n, bool)]).reshape(len(names) + 1, n)
 
     @staticmethod
-    def _logs(counts: dict[str, list[int]], prior: float) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        m = np.array(list(counts.values()), np.float64)
-        m = np.log(m + prior) - np.log(m.sum(0) + prior * len(m))
-        return dict(zip(counts, m.astype(np.float32), strict=True))
-
-    def score(self, word: str) -> np.ndarray:
-        """0 for the likeliest language, below that for the others, -``worst`` at least and for languages not
-        written in the word's script; all 0 if nothing is known of the script."""
-        able = self.candidates.get(script(word))
-        if able is None or not able.any():
-            return np.zeros(len(self.langs), np.float32)
-        s = self.words.get(word)
-        if s is None:
-            known = [self.trigrams[g] for g in grams(word) if g in self.trigrams]
-            s = np.sum(known, axis=0) if known else np.zeros(len(self.langs), np.float32)
+    def _logs(counts: dict[str, list[int]], prior: float, n: int) -> np.ndarray:
+        """Logs of the shares, with a last row of zeros for what is unknown."""
+        m = np.array(list(counts.values()), np.float64).reshape(len(counts), n)
+        m = np.log(m + prior) - np.log(m.sum(0) + prior * max(1, len(m)))
+        return np.concatenate([m, np.zeros((1, n))]).astype(np.float32)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """0 for a word's likeliest language, below that for the others, -``worst`` at least and for languages not
+        written in its script; all 0 if no language is."""
+        if not words:
+            return np.zeros((0, len(self.langs)), np.float32)
+        get, none = self.words.get, len(self.words)
+        at = np.fromiter((get(w, none) for w in words), np.int64, len(words))
+        s = self.word_logs[at]
+        rare = np.flatnonzero(at == none)
+        if len(rare):
+            parts = [grams(words[k]) for k in rare.tolist()]
+            get, none = self.trigrams.get, len(self.trigrams)
+            flat = np.fromiter((get(g, none) for p in parts for g in p), np.int64)
+            s[rare] = np.add.reduceat(self.trigram_logs[flat], np.cumsum([0, *map(len, parts)])[:-1], axis=0)
+        first = {c: self.scripts.get(script(c), len(self.scripts)) for c in {w[0] for w in words}}
+        able = self.able[[first[w[0]] for w in words]]
         s = np.where(able, s, -np.inf)
-        return np.maximum(s - s.max(), -self.worst).astype(np.float32)
+        top = s.max(1, keepdims=True)
+        return np.where(np.isfinite(top), np.maximum(s - np.where(np.isfinite(top), top, 0), -self.worst), 0).astype(np.float32)
 
 
 class Scores(dict):
     """Word -> row of ``table``; starts anew when the table is full."""
 
-    def __init__(self, model: Model, room: int) -> None:
+    def __init__(self, model: Model, room: int = 300_000) -> None:
         super().__init__()
         self.model, self.table = model, np.zeros((room, len(model.langs)), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.table):
-            raise OverflowError
-        self.table[k] = self.model.score(word)
-        self[word] = k
-        return k
-
     def rows(self, words: list[str]) -> np.ndarray:
-        try:
-            return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
-        except OverflowError:
+        new = [w for w in set(words) if w not in self]
+        if len(self) + len(new) > len(self.table):
             self.clear()
-            if len(words) > len(self.table):
-                return np.concatenate([self.rows(words[i : i + len(self.table)]) for i in range(0, len(words), len(self.table))])
-            return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
-
-
-def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
-    """The likeliest sequence of languages for word scores (n, languages), each switch costing ``penalty``."""
-    n, v = len(s), s[0].astype(np.float64)
-    came = np.zeros((n, s.shape[1]), np.int32)
-    own = np.arange(s.shape[1])
-    for t in range(1, n):
-        best = int(v.argmax())
-        stay = v >= v[best] - penalty
-        came[t] = np.where(stay, own, best)
-        v = np.where(stay, v, v[best] - penalty) + s[t]
-    path = np.zeros(n, np.int32)
-    path[-1] = v.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = came[t, path[t]]
-    return path
+            new = list(set(words))
+            if len(new) > len(self.table):
+                return np.concatenate([self.rows(words[: len(words) // 2]), self.rows(words[len(words) // 2 :])])
+        at = len(self)
+        self.table[at : at + len(new)] = self.model.score(new)
+        self.update(zip(new, range(at, at + len(new)), strict=True))
+        return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
+
+
+def viterbi(s: np.ndarray, start: np.ndarray, size: np.ndarray, penalty: float) -> list[np.ndarray]:
+    """For texts whose word scores lie in ``s`` (text k: size[k] rows from start[k] on) the likeliest sequences of
+    languages, each switch costing ``penalty``.  All texts take a step at a time, the longest ones last."""
+    order = np.argsort(-size, kind="stable")
+    begin, n = start[order], size[order]
+    if not len(order):
+        return []
+    v, own = s[begin].astype(np.float64), np.arange(s.shape[1], dtype=np.int16)
+    came = []
+    alive = len(order)
+    ends = np.zeros(len(order), np.int64)
+    for t in range(1, int(n[0]) + 1):
+        now = int(np.searchsorted(-n, -t, side="left"))  # texts with more than t words
+        if now < alive:
+            ends[now:alive] = v[now:alive].argmax(1)
+            alive = now
+            if not alive:
+                break
+        v = v[:alive]
+        best = v.argmax(1)
+        top = v[np.arange(alive), best][:, None] - penalty
+        stay = v >= top
+        came.append(np.where(stay, own, best.astype(np.int16)[:, None]))
+        v = np.where(stay, v, top) + s[begin[:alive] + t]
+    at, labels = ends, np.zeros((len(s) + 1,), np.int32)
+    for t in range(int(n[0]) - 1, -1, -1):
+        if t < len(came):  # from word t + 1 back to word t
+            k = len(came[t])
+            at[:k] = came[t][np.arange(k), at[:k]]
+        live = int(np.searchsorted(-n, -t, side="left"))
+        labels[begin[:live] + t] = at[:live]
+    return [labels[a : a + k] for a, k in zip(start.tolist(), size.tolist(), strict=True)]
 
 
 def one_language(s: np.ndarray, start: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,26 +211,32 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     fold_of = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     model = df.sparkSession.sparkContext.broadcast(train(df, fold_of != fold, text_col, lang_col, id_col, per_lang, table_size, seed))
 
+    token = uuid.uuid4().hex
+
     def run(batches):
-        langs = model.value.langs
-        cache = Scores(model.value, 200_000) if langs else None
+        langs, store = model.value.langs, worker_store()
+        if store.get("language", (None,))[0] != token:  # the worker's scores of this model outlive a task
+            store["language"] = token, Scores(model.value) if langs else None
+        cache = store["language"][1]
         for whole in batches:
-            for b in sub_batches([whole], "text", 2 << 20):
+            for b in sub_batches([whole], "text", 4 << 20):
                 n = b.num_rows
                 words = [WORD.findall(t.lower()) if t else [] for t in b.column(2).to_pylist()]
                 able = [k for k, w in enumerate(words) if w and cache is not None and any(map(str.isalpha, w))]
                 pred, score, spans = ["und"] * n, [0.0] * n, [[] for _ in range(n)]
                 if able:
                     start = np.cumsum([0, *(len(words[k]) for k in able)])[:-1]
-                    s = np.concatenate([cache.rows(words[k]) for k in able])
+                    s = cache.rows([w for k in able for w in words[k]])
                     total, best, plain = one_language(s, start, penalty)
                     end = np.r_[start[1:], len(s)]
                     odds = np.exp(total - total.max(1, keepdims=True))
                     odds /= odds.sum(1, keepdims=True)
+                    mixed = np.flatnonzero(~plain)
+                    paths = dict(zip(mixed.tolist(), viterbi(s, start[mixed], (end - start)[mixed], penalty), strict=True))
                     for j, k in enumerate(able):
                         a, share = int(best[j]), 1.0
                         if not plain[j]:
-                            path = viterbi(s[start[j] : end[j]], penalty)
+                            path = paths[j]
                             count = np.bincount(path, minlength=len(langs))
                             a = int(count.argmax())
                             share = float(count[a] / len(path))
