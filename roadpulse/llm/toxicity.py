@@ -125,17 +125,34 @@ class Model:
         z = self.coef @ np.array([1.0, best, whole])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), kept
 
-    def calibrate(self, features: np.ndarray, label: np.ndarray, ridge: float = 1e-3) -> None:
-        """Logistic regression by Newton steps."""
-        x, w = np.c_[np.ones(len(label)), features], np.zeros(3)
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(3)
-            step = np.linalg.solve(h, x.T @ (label - p) - ridge * w)
-            w = w + np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-8:
+    def calibrate(self, features: np.ndarray, label: np.ndarray, ridge: float = 1.0) -> None:
+        """Logistic regression on features of unit spread with a penalty on the slopes, which makes the loss
+        strictly convex; Newton steps are halved until the loss falls.  No slope is negative."""
+        scale = np.maximum(features.std(0), 1e-9)
+        used = [1, 2]
+        while True:
+            cols = [0, *used]
+            x = np.c_[np.ones(len(label)), features / scale][:, cols]
+            cost = np.diag([1e-6, *[ridge] * len(used)])
+            loss = lambda w: np.logaddexp(0, -(2 * label - 1) * (x @ w)).sum() + w @ cost @ w / 2  # noqa: E731, B023
+            w = np.zeros(len(cols))
+            now = loss(w)
+            for _ in range(100):
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + cost, x.T @ (label - p) - cost @ w)
+                size = 1.0
+                while size > 1e-6 and loss(w + size * step) > now:
+                    size /= 2
+                w = w + size * step
+                before, now = now, loss(w)
+                if before - now < 1e-9 * max(1.0, now):
+                    break
+            if len(used) == 1 or (w[1:] >= 0).all():
                 break
-        self.coef = w
+            used.remove(used[int(np.argmin(w[1:]))])
+        self.coef = np.zeros(3)
+        self.coef[cols] = w
+        self.coef[1:] = np.maximum(self.coef[1:] / scale, 0)
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, fold: int, sample_rows: int, table_size: int, drift: float, seed: int) -> Model:

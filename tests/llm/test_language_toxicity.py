@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from roadpulse.llm.language_id import identify, one_language, viterbi
-from roadpulse.llm.toxicity import segments, toxicity
+from roadpulse.llm.toxicity import Model, segments, toxicity
 
 VOCAB = {"aa": ["the", "of", "and", "house", "river", "green", "walk"], "bb": ["der", "und", "haus", "fluss", "grün", "gehen", "das"], "cc": ["дом", "река", "и", "что", "зелёный", "идти", "это"]}
 
@@ -47,8 +47,9 @@ def test_sums_agree_with_viterbi(seed):
     start = np.cumsum([0, *sizes])[:-1]
     penalty = float(r.choice([2.0, 6.0, 12.0]))
     _, best, plain = one_language(s, start, penalty)
-    for k, (a, n) in enumerate(zip(start, sizes)):
-        path = viterbi(s[a : a + n], penalty)
+    paths = viterbi(s, start, sizes, penalty)
+    for k, path in enumerate(paths):
+        assert len(path) == sizes[k]
         if plain[k]:
             assert (path == best[k]).all()
 
@@ -62,8 +63,10 @@ def brute_path(s, penalty):
 def test_viterbi_is_optimal():
     r = np.random.default_rng(0)
     for _ in range(20):
-        s = -r.exponential(1.0, (6, 3))
-        assert tuple(viterbi(s, 1.0)) == brute_path(s, 1.0)
+        sizes = r.integers(1, 7, 4)
+        s, start = -r.exponential(1.0, (sizes.sum(), 3)), np.cumsum([0, *sizes])[:-1]
+        for path, a, n in zip(viterbi(s, start, sizes, 1.0), start, sizes):
+            assert tuple(path) == brute_path(s[a : a + n], 1.0)
 
 
 def maximal(x):
@@ -107,3 +110,18 @@ def test_toxicity(spark):
     assert {x.predicted for x in got if x.doc_id in (5000, 5001)} == {0}
     assert toxicity(df, marks.limit(0)).where("predicted = 1").count() == 0
     assert toxicity(df.limit(0), marks).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_calibration_is_stable(seed):
+    r = np.random.default_rng(seed)
+    n = 4000
+    label = r.random(n) < 0.1
+    x = np.c_[np.where(label, 45, 0.5) + r.normal(0, 1, n), np.where(label, 4.5, 0.5) + r.normal(0, 0.05, n)]  # separable
+    m = Model({}, 0.2)
+    m.calibrate(x, label.astype(float))
+    p = 1 / (1 + np.exp(-(np.c_[np.ones(n), x] @ m.coef)))
+    assert ((p >= 0.7) == label).all() and (m.coef[1:] >= 0).all()
+    few = np.r_[np.flatnonzero(label)[:40], np.flatnonzero(~label)[:400]]
+    m.calibrate(x[few], label[few].astype(float))
+    assert (1 / (1 + np.exp(-(np.c_[np.ones(n), x] @ m.coef))) >= 0.7)[label].all()
