@@ -83,11 +83,12 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col:
     n = queries.count()
     dims = vectors.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     bound = int(dims[0] or 0) * int(dims[1] or 0) ** 2
-    ordered = scratch.put(queries.repartitionByRange(max(1, -(-n // block)), "id").withColumn("block", F.spark_partition_id()), "queries")
+    blocks = max(1, -(-n // block))
+    dealt = scratch.put(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "queries")
     found = []
-    for (b,) in ordered.select("block").distinct().orderBy("block").collect():
-        part = ordered.where(F.col("block") == b).orderBy("id").collect()
-        # A block is about ``block`` rows; a range that holds more is cut here.
+    for b in range(blocks if n else 0):
+        part = dealt.where(F.col("block") == b).collect()
+        # A block is about ``block`` rows; one that holds many more is cut here.
         for at in range(0, len(part), 2 * block):
             found.append(scratch.put(_search(spark, vectors, part[at : at + 2 * block], k, bound, bits), f"top{b}"))
     kind = df.schema[id_col].dataType.simpleString()
