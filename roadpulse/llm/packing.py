@@ -111,7 +111,7 @@ class Packer:
             self.bin(self.capacity if self.tokens >= self.capacity else 1 << (self.tokens.bit_length() - 1))
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, pool: int = 256, cache_size: int = 300_000, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, pool: int = 256, cache_size: int = 120_000, with_ids: bool = False) -> DataFrame:
     """Pack the token ids of all documents (each followed by ``end_id``) into sequences.
 
     One row for each piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset (and

@@ -231,7 +231,7 @@ def _scan(texts: Iterator[pa.RecordBatch], length: int):
     """(key, bytes, *anchors()) of each text that the task has not met before."""
     seen: set[bytes] = set()
     for whole in texts:
-        for b in sub_batches([whole], "text", 4 << 20):
+        for b in sub_batches([whole], "text", 2 << 20):
             for text in b.column(0).to_pylist():
                 data = text.encode() if isinstance(text, str) else text
                 key = hashlib.sha256(data).digest()[:16]
@@ -373,7 +373,7 @@ def _match(length: int, batch_bytes: int, most_bytes: int):
     return run
 
 
-def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch, bitmap_bits: int = 1 << 26, hot_runs: int = 20_000, batch_bytes: int = 2 << 20, most_bytes: int = 12 << 20) -> DataFrame:
+def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch, bitmap_bits: int = 1 << 26, hot_runs: int = 20_000, batch_bytes: int = 1 << 20, most_bytes: int = 3 << 20) -> DataFrame:
     """(key, spans): bytes of each distinct text (key: 16 bytes of its SHA-256) that lie in windows which
     also start elsewhere in the distinct texts.
 
