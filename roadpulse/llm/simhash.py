@@ -299,14 +299,168 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(found, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``df``, all columns, that are the first of their group in ``simhash_groups``.
+def shingle_set(text: str, n: int, seed: int) -> np.ndarray:
+    """The XXH64 of the distinct shingles of ``n`` words, in order."""
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in shingles(text.encode(), n)]), ">u8").astype(np.uint64))
+
+
+class Sketch:
+    """Min-wise hashes of a set: keys of ``bands`` bands of four minima each, on which sets of Jaccard similarity
+    J agree with probability J^4 a band, and 64 * ``words`` bits, each of which differs with probability (1 - J) / 2."""
+
+    def __init__(self, bands: int, words: int, seed: int) -> None:
+        r = np.random.default_rng(seed)
+        self.bands, self.words = bands, words
+        self.by = r.integers(0, 1 << 63, max(4 * bands, 64 * words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.turn = r.integers(0, 1 << 63, (bands, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def __call__(self, found: np.ndarray) -> tuple[bytes, np.ndarray]:
+        if not len(found):
+            return bytes(8 * self.words), np.zeros(0, np.int64)
+        low = np.full(len(self.by), ALL)
+        with np.errstate(over="ignore"):
+            for at in range(0, len(found), 128):
+                low = np.minimum(low, (found[at : at + 128, None] * self.by).min(0))
+            low = (low ^ low >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+            key = ((low ^ low >> np.uint64(29))[: 4 * self.bands].reshape(-1, 4) * self.turn).sum(1)
+            key = (key ^ key >> np.uint64(32)) * np.uint64(0x94D049BB133111EB) + np.arange(self.bands, dtype=np.uint64)
+        return np.packbits((low >> np.uint64(63)).astype(np.uint8)[: 64 * self.words]).tobytes(), key.view(np.int64)
+
+
+def bands_for(jaccard: float, recall: float) -> int:
+    """So many bands of four that sets of similarity ``jaccard`` agree on one with probability ``recall``."""
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - jaccard**4)))
+
+
+def _digest(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 17):
+    """Over rows sorted by (key, part): pairs (a, b) of a group that sizes and sketches allow and whose roots
+    differ; of each group's first row with all others if ``star``, else of all its rows."""
+
+    def pairs(rows: pa.Table):
+        key, part = rows["key"].to_numpy(), rows["part"].to_numpy()
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        size = np.diff(np.r_[start, len(key)])
+        after = np.repeat(start + size, size) - np.arange(len(key)) - 1  # rows of the group that follow
+        many = np.flatnonzero(np.repeat(size > 1, size))
+        if not len(many):
+            return
+        uid, root, n = (rows[c].to_numpy() for c in ("uid", "root", "n"))
+        fps = np.frombuffer(b"".join(rows["fp"].to_pylist()), np.uint64).reshape(len(key), -1)
+
+        def allowed(a, b):
+            ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= jaccard * np.maximum(n[a], n[b]) - 1e-9)
+            a, b = a[ok], b[ok]
+            ok = np.bitwise_count(fps[a] ^ fps[b]).sum(1) <= radius
+            a, b = uid[a[ok]], uid[b[ok]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        if star:
+            first = np.repeat(start, size)[many]
+            yield allowed(first[many > first], many[many > first])
+            return
+        a, s = many, 0
+        while len(a := a[after[a] > s]):
+            s += 1
+            yield allowed(a, a + s)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= flush:
+                rows = pa.Table.from_batches(held)
+                same = (rows["key"].to_numpy() == rows["key"][-1].as_py()) & (rows["part"].to_numpy() == rows["part"][-1].as_py())
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may go on
+                if cut:
+                    yield from pairs(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _met(scratch: Scratch, nodes: DataFrame, jaccard: float, radius: int, star: bool, part_rows: int = 8192) -> DataFrame:
+    """Distinct candidate pairs (a, b) of ``nodes`` (uid, root, n, fp, keys)."""
+    rows = nodes.select("uid", "root", "n", "fp", F.explode("keys").alias("key"))
+    large = scratch.put(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > 2 * part_rows).select("key", F.ceil(F.col("m") / part_rows).cast("int").alias("parts")), "large")
+    if large.isEmpty():
+        rows = rows.withColumn("part", F.lit(0))
+    else:
+        # As in ``groups``: a large group is dealt out in parts, and every pair of parts meets in a task of its own.
+        rows = rows.join(large, "key", "left").withColumn("p", F.pmod(F.xxhash64("uid"), F.coalesce("parts", F.lit(1))).cast("int"))
+        others = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda o: F.least(o, F.col("p")) * 65536 + F.greatest(o, F.col("p")))
+        rows = rows.withColumn("part", F.explode(others)).drop("p", "parts")
+    rows = rows.select("key", "part", "uid", "root", "n", "fp").repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "key", "part")
+    return rows.sortWithinPartitions("key", "part", "uid").mapInArrow(_meeting(jaccard, radius, star), "a long, b long").distinct()
+
+
+def _verified(scratch: Scratch, df: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, jaccard: float, seed: int) -> DataFrame:
+    """The ``pairs`` whose sets of shingles, taken anew from the texts of ``df`` (id, text), are as similar as ``jaccard``."""
+    asked = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+    asked = scratch.put(nodes.join(asked, "uid").select("uid", "digest", "first"), "asked")
+
+    def run(batches):
+        for b in sub_batches(batches, "text", 1 << 20):
+            found = [shingle_set(t or "", shingle, seed) for t in b.column(0).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)])
+            flat = pa.array(np.concatenate(found).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(_digest, found)), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["digest", "found"])
+
+    sets = mark(scratch, df, F.col("id"), asked.select("first")).where("_hit").select("text").mapInArrow(run, "digest binary, found array<long>")
+    sets = scratch.put(sets.join(asked.select("uid", "digest"), "digest").select("uid", "found").dropDuplicates(["uid"]), "sets")
+    one, two = sets.select(F.col("uid").alias("a"), F.col("found").alias("x")), sets.select(F.col("uid").alias("b"), F.col("found").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(one, "a").join(two, "b").where(both >= F.lit(jaccard) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+
+
+def near_copies(scratch: Scratch, df: DataFrame, shingle: int, jaccard: float, words: int, radius: int, recall: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``df`` (id, text): prints (id, digest) of every row, and named (digest, first, root) of every distinct set
+    of shingles; sets that links of Jaccard similarity ``jaccard`` or more join have the same root.
+
+    Sets that agree on a band of min-wise hashes (probability ``recall`` at a similarity of ``jaccard``, more above it)
+    and differ in at most ``radius`` of 64 * ``words`` sketch bits are candidates; each candidate's
+    sets are compared exactly.  Candidates are first the pairs with the first row of a group, then all
+    pairs that those have not joined, so large groups of copies need few comparisons.
+    """
+    sketch = Sketch(bands_for(jaccard, recall), words, seed)
+
+    def run(batches):
+        for b in sub_batches(batches, "text", 4 << 20):
+            found = [shingle_set(t or "", shingle, seed) for t in b.column(1).to_pylist()]
+            fps, keys = zip(*map(sketch, found), strict=True)
+            ends = np.cumsum([0, *map(len, keys)])
+            cols = [b.column(0), pa.array(list(map(_digest, found)), pa.binary()), pa.array(list(map(len, found)), pa.int32()), pa.array(fps, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "n", "fp", "keys"])
+
+    prints = scratch.put(df.select("id", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, digest binary, n int, fp binary, keys array<long>"), "prints")
+    nodes = prints.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = scratch.put(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
+    named, edges = nodes.withColumn("root", F.col("uid")), None
+    for star in (True, False):
+        pairs = scratch.put(_met(scratch, named, jaccard, radius, star), "pairs")
+        links = scratch.put(_verified(scratch, df, nodes, pairs, shingle, jaccard, seed), "links")
+        edges = links if edges is None else edges.unionByName(links)
+        roots = components(scratch, edges)
+        named = scratch.put(nodes.join(roots, nodes.uid == roots.node, "left").select(*nodes.columns, F.coalesce("root", "uid").alias("root")), "named")
+    return prints.select("id", "digest"), named.select("digest", "first", "root")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, jaccard: float = 0.8, words: int = 4, radius: int = 58, recall: float = 1 - 1e-8, seed: int = 42) -> DataFrame:
+    """The rows of ``df``, all columns, that have the smallest id of their group of near copies (``near_copies``).
 
     Of rows with the same id and group one stays, whichever.  Rows without an id are no one's copy and
     stay.  Only rows to be dropped, and a few others, take part in a join; the rest stay where they are.
     """
     scratch = Scratch(df.sparkSession, "first")
-    found = scratch.put(simhash_groups(df.where(F.col(id_col).isNotNull()), id_col, text_col, **how).select(F.col(id_col).alias("_id"), "component_id"), "found")
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints, named = near_copies(scratch, texts, shingle, jaccard, words, radius, recall, seed)
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("digest", "component_id")
+    found = scratch.put(prints.join(named, "digest").select(F.col("id").alias("_id"), "component_id"), "found")
     count = found.groupBy("_id").agg(F.min("component_id").alias("_first"), F.count("*").alias("_n"))
     count = scratch.put(count.where("_id <> _first or _n > 1"), "others")
     rows = mark(scratch, df, F.col(id_col), count.select("_id"))

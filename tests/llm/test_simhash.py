@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from corpus_pipeline import NEAR
 from roadpulse.llm.simhash import fingerprint, link_groups, one_of_each, pigeonhole, simhash_groups
 from test_components import roots
 
@@ -91,3 +92,18 @@ def test_one_of_each_of_near_copies(spark):
     ids = [x.doc_id for x in got.collect()]
     assert sorted(x for x in ids if x is not None and x < 100) == list(range(40)) and ids.count(None) == 2
     assert sum(x >= 100 for x in ids if x is not None) <= 1
+
+
+def near_pairs(r, count, overlap, words=120):
+    """Pairs of texts of ``words`` words that share their first ``overlap`` words and nothing else."""
+    for _ in range(count):
+        w = [f"w{r.getrandbits(40)}" for _ in range(2 * words - overlap)]
+        yield " ".join(w[:words]), " ".join(w[:overlap] + w[words:])
+
+
+def test_one_of_each_misses_no_copy_at_the_threshold(spark):
+    r = random.Random(5)
+    pairs = list(near_pairs(r, 400, 108))  # 104 of 128 shingles: 0.8125
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR)
+    assert sorted(x.doc_id for x in got.collect()) == list(range(0, 800, 2))
