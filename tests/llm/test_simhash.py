@@ -107,3 +107,14 @@ def test_one_of_each_misses_no_copy_at_the_threshold(spark):
     rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
     got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR)
     assert sorted(x.doc_id for x in got.collect()) == list(range(0, 800, 2))
+
+
+def test_one_of_each_keeps_what_is_no_copy(spark):
+    r = random.Random(6)
+    pairs = [p for overlap in (88, 96, 102) for p in near_pairs(r, 60, overlap)]  # at most 98 of 134 shingles: 0.73
+    for _ in range(20):  # one line fifty times, and 100 shingles of each text's own
+        line = " ".join(f"r{r.getrandbits(40)}" for _ in range(10)) + " "
+        pairs.append(tuple(line * 50 + " ".join(f"w{r.getrandbits(40)}" for _ in range(100)) for _ in range(2)))
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR)
+    assert sorted(x.doc_id for x in got.collect()) == list(range(len(rows)))
