@@ -90,9 +90,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     decided by balanced sampling on documents and words, so a source's words miss its target by less
     than about one document.
 
-    Sources are cut into chunks of about ``chunk_rows`` documents by a hash of the id, whatever their
-    share of the rows; each chunk's flight leaves at most two documents open, which meet in the next
-    flight, until one chunk for each source is left and lands.  The decisions depend on the rows and
+    Each source is cut into chunks of about ``chunk_rows`` documents by a hash of the id; each chunk's flight
+    leaves at most two documents open, which meet in the next flight, and the source lands in the flight in
+    which it is one chunk, whatever the other sources need.  The decisions depend on the rows and
     ``seed`` only, so reruns agree.
 
     Returns ``id_col``, size, source_size, target, taken, copies, source.  ``source_size``/``target``
@@ -109,26 +109,26 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         raise ValueError("too many sources")
     goal = targets({r.source: r["size"] for r in found}, weights, share, most)
     kind, skind = df.schema[id_col].dataType.simpleString(), df.schema[source_col].dataType.simpleString()
-    table = spark.createDataFrame([Row(s=r.source, source_size=r["size"], target=float(goal[r.source])) for r in found], f"s {skind}, source_size long, target double")
+    table = spark.createDataFrame([Row(s=r.source, source_size=r["size"], target=float(goal[r.source]), m=r.n) for r in found], f"s {skind}, source_size long, target double, m long")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.join(F.broadcast(table), rows.source.eqNullSafe(table.s)).drop("s").withColumn("ratio", F.least(ratio, F.lit(float(most))))
     base = F.floor(F.col("ratio") + EPS)
     state = rows.withColumn("base", base.cast("int")).withColumn("fraction", F.greatest(F.col("ratio") - base, F.lit(0.0))).drop("ratio").withColumn("decided", F.when((F.col("fraction") < EPS) | (F.col("size") == 0), F.lit(0)))
     schema = f"id {kind}, source {skind}, size long, source_size long, target double, base int, fraction double, decided int"
-    state = state.select("id", "source", "size", "source_size", "target", "base", "fraction", "decided")
-    done = [state.where("decided is not null")]
-    state, n, level = state.where("decided is null"), sum(r.n for r in found), 0
-    while n:
-        chunks = -(-n // chunk_rows)
-        last = chunks == 1
-        state = state.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed + level)), F.lit(chunks)).cast("int"))
+    columns = ["id", "source", "size", "source_size", "target", "base", "fraction", "decided"]
+    done = [state.where("decided is not null").select(*columns)]
+    state, level = state.where("decided is null"), 0
+    while True:
+        chunks = F.ceil(F.col("m") / max(4, chunk_rows))
+        state = state.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed + level)), chunks).cast("int")).select(*columns, "chunk", (chunks == 1).alias("last"))
         state = state.repartition("source", "chunk").sortWithinPartitions("source", "chunk", F.xxhash64("id", F.lit(seed)), "id", "size")
-        flown = scratch.put(state.mapInArrow(_fly(seed + level, last), schema), f"flight{level}")
+        flown = scratch.put(state.mapInArrow(_fly(seed + level), schema), f"flight{level}")
         done.append(flown.where("decided is not null"))
-        if last:
-            break
         state, level = flown.where("decided is null"), level + 1
-        n = state.count()
+        open_rows = scratch.put(state.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("m")), "open")  # of sources of several chunks only
+        if open_rows.isEmpty():
+            break
+        state = state.join(F.broadcast(open_rows), state.source.eqNullSafe(open_rows.s))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -136,23 +136,23 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), F.col("source").alias(source_col))
 
 
-def _fly(seed: int, last: bool):
+def _fly(seed: int):
     def run(batches):
-        key, flight, at = object(), None, 0
+        key, flight, at, landing = object(), None, 0, False
 
         def close():
             if flight is None:
                 return []
-            return flight.land() if last else [((*x[2][:6], x[1], None), None) for x in flight.open]
+            return flight.land() if landing else [((*x[2][:6], x[1], None), None) for x in flight.open]
 
         schema = None
         for b in batches:
-            schema = pa.schema([f for f in b.schema if f.name != "chunk"])
+            schema = pa.schema([f for f in b.schema if f.name not in ("chunk", "last")])
             out = []
-            for *row, chunk in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *row, chunk, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (row[1], chunk) != key:
                     out += close()
-                    key = (row[1], chunk)
+                    key, landing = (row[1], chunk), last
                     at = sum(ord(c) * 31**i for i, c in enumerate(str(row[1])[:50])) if row[1] is not None else 7
                     flight = Flight(seed * 1_000_003 + at * 7919 + chunk)
                 out += flight.add(row[2], row[6], tuple(row))

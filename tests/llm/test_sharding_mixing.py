@@ -81,3 +81,15 @@ def test_mix(spark):
     frame = lambda x: sorted((str(r.doc_id), str(r.source), r["size"], r.taken) for r in x)
     assert frame(mix(df.repartition(7), chunk_rows=200).collect()) == frame(got)
     assert mix(df.limit(0)).count() == 0
+
+
+def test_mix_of_more_sources_than_a_chunk_has_rows(spark):
+    rows = [(i, "w " * (1 + i % 7), f"site{i % 150}") for i in range(450)] + [(1000 + i, "w w", "hot") for i in range(500)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), chunk_rows=50).collect()
+    assert sorted(x.doc_id for x in got) == [r[0] for r in rows]
+    taken, goal = Counter(), {}
+    for x in got:
+        taken[x.source] += x.taken
+        goal[x.source] = x.target
+        assert 0 <= x.copies <= 2
+    assert len(goal) == 151 and all(abs(taken[s] - goal[s]) <= 7 for s in goal)
