@@ -450,22 +450,36 @@ def near_copies(scratch: Scratch, df: DataFrame, shingle: int, jaccard: float, w
     return prints.select("id", "digest"), named.select("digest", "first", "root")
 
 
+def _with_digest(df: DataFrame, text_col: str, shingle: int, seed: int) -> DataFrame:
+    """``df`` with the digest of each text's shingle set, as the column ``_digest``."""
+
+    def run(batches):
+        for b in sub_batches(batches, text_col, 4 << 20):
+            found = [_digest(shingle_set(t or "", shingle, seed)) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], [*b.schema.names, "_digest"])
+
+    return df.mapInArrow(run, df.select("*", F.lit(b"").alias("_digest")).schema)
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, jaccard: float = 0.8, words: int = 4, radius: int = 58, recall: float = 1 - 1e-8, seed: int = 42) -> DataFrame:
     """The rows of ``df``, all columns, that have the smallest id of their group of near copies (``near_copies``).
 
-    Of rows with the same id and group one stays, whichever.  Rows without an id are no one's copy and
-    stay.  Only rows to be dropped, and a few others, take part in a join; the rest stay where they are.
+    A row is told by its id and its set of shingles: of rows with the same id and unlike texts each counts for itself,
+    of rows equal in both one stays, whichever.  Rows without an id are no one's copy and stay.  Only rows
+    to be dropped, and a few others, take part in a join; the rest stay where they are.
     """
     scratch = Scratch(df.sparkSession, "first")
-    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints, named = near_copies(scratch, texts, shingle, jaccard, words, radius, recall, seed)
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("digest", "component_id")
-    found = scratch.put(prints.join(named, "digest").select(F.col("id").alias("_id"), "component_id"), "found")
-    count = found.groupBy("_id").agg(F.min("component_id").alias("_first"), F.count("*").alias("_n"))
-    count = scratch.put(count.where("_id <> _first or _n > 1"), "others")
-    rows = mark(scratch, df, F.col(id_col), count.select("_id"))
-    stay = rows.where(~F.col("_hit") | F.col(id_col).isNull()).select(*df.columns)
-    asked = rows.where(F.col("_hit") & F.col(id_col).isNotNull()).join(count, F.col(id_col) == F.col("_id"), "left")
-    once = asked.where("_id is null").select(*df.columns)
-    first = asked.where("_id = _first").dropDuplicates(["_id"]).select(*df.columns)
+    asked = df.where(F.col(id_col).isNotNull())
+    prints, named = near_copies(scratch, asked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, jaccard, words, radius, recall, seed)
+    chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("w"))
+    named = named.join(chosen, "root").select("digest", F.col("w.first").alias("first"), F.col("w.digest").alias("best"))
+    found = prints.groupBy("id", "digest").agg(F.count("*").alias("_n")).join(named, "digest")
+    found = found.select(F.col("id").alias("_id"), F.col("digest").alias("_d"), (F.col("id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("best"))).alias("_stays"), "_n")
+    others = scratch.put(found.where("not _stays or _n > 1").select("_id", "_d", "_stays"), "others")
+    rows = mark(scratch, asked, F.col(id_col), others.select("_id"))
+    stay = rows.where(~F.col("_hit")).select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
+    hit = _with_digest(rows.where("_hit").select(*df.columns), text_col, shingle, seed)
+    hit = hit.join(others, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left")
+    once = hit.where("_stays is null").select(*df.columns)
+    first = hit.where("_stays").dropDuplicates(["_id", "_d"]).select(*df.columns)
     return stay.unionByName(once).unionByName(first)

@@ -118,3 +118,11 @@ def test_one_of_each_keeps_what_is_no_copy(spark):
     rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
     got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR)
     assert sorted(x.doc_id for x in got.collect()) == list(range(len(rows)))
+
+
+def test_one_of_each_of_rows_that_share_an_id(spark):
+    r = random.Random(7)
+    a, b, c, d = (" ".join(f"w{r.getrandbits(40)}" for _ in range(100)) for _ in range(4))
+    rows = [(1, a, 0), (1, b, 1), (2, c, 2), (5, a, 3), (5, d, 4), (5, d, 5), (6, b, 6)]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3), **NEAR)
+    assert sorted((x.doc_id, x.text) for x in got.collect()) == sorted([(1, a), (1, b), (2, c), (5, d)])
