@@ -83,17 +83,12 @@ class Model:
         self.weights, self.drift, self.rate, self.log_k, self.coef = weights, drift, 1.0, 0.0, np.zeros(3)
 
     def scorer(self):
-        """A function from a text to the weights of its tokens; a token's third occurrence and later ones count 0."""
+        """A function from a text to the weights of its tokens, each occurrence's alike."""
         get = Weights(self.weights).__getitem__
 
         def scores(text: str) -> np.ndarray:
             words = tokens(text)
-            x, met = np.fromiter(map(get, words), np.float64, len(words)), Counter()
-            for k in np.flatnonzero(x).tolist():  # what is said again and again is no stronger sign
-                met[words[k]] += 1
-                if met[words[k]] > 2:
-                    x[k] = 0.0
-            return x
+            return np.fromiter(map(get, words), np.float64, len(words))
 
         return scores
 

@@ -112,6 +112,17 @@ def test_toxicity(spark):
     assert toxicity(df.limit(0), marks).count() == 0
 
 
+def test_late_passage_of_words_used_before():
+    m = Model({"idiot": 3.0, "moron": 3.0, "scum": 3.0}, 0.2)
+    words = ["w"] * 100_000
+    for at in (10, 20_000, 40_000, 90_000):
+        words[at : at + 3] = ["idiot", "moron", "scum"]
+    words[95_000:95_010] = ["idiot"] * 10
+    m.log_k = -8.0
+    found = m.features(m.scorer()(" ".join(words)))[2]
+    assert [(a, b) for _, a, b in found] == [(10, 13), (20_000, 20_003), (40_000, 40_003), (90_000, 90_003), (95_000, 95_010)]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_calibration_is_stable(seed):
     r = np.random.default_rng(seed)
