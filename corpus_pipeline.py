@@ -24,7 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more, by an exact check of each
 #: candidate.  A pair of similarity 0.8 is no candidate with a probability of some 10^-8: its sketches of 256 bits
 #: differ in 26 +- 5 bits.
-NEAR = {"shingle": 5, "jaccard": 0.8, "words": 4, "radius": 58, "recall": 1 - 1e-8}
+NEAR = {"shingle": 5, "jaccard": 0.8, "words": 4, "radius": 58, "recall": 1 - 1e-8, "null_ids": True}
 
 #: Bytes of a repeated passage; passages of over 50 words are longer.
 PASSAGE = 200

@@ -461,15 +461,16 @@ def _with_digest(df: DataFrame, text_col: str, shingle: int, seed: int) -> DataF
     return df.mapInArrow(run, df.select("*", F.lit(b"").alias("_digest")).schema)
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, jaccard: float = 0.8, words: int = 4, radius: int = 58, recall: float = 1 - 1e-8, seed: int = 42) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, jaccard: float = 0.8, words: int = 4, radius: int = 58, recall: float = 1 - 1e-8, seed: int = 42, null_ids: bool = False) -> DataFrame:
     """The rows of ``df``, all columns, that have the smallest id of their group of near copies (``near_copies``).
 
     A row is told by its id and its set of shingles: of rows with the same id and unlike texts each counts for itself,
-    of rows equal in both one stays, whichever.  Rows without an id are no one's copy and stay.  Only rows
+    of rows equal in both one stays, whichever.  Rows without an id are compared like others with
+    ``null_ids`` (one with an id stays before them); else they are no one's copy and stay.  Only rows
     to be dropped, and a few others, take part in a join; the rest stay where they are.
     """
     scratch = Scratch(df.sparkSession, "first")
-    asked = df.where(F.col(id_col).isNotNull())
+    asked = df if null_ids else df.where(F.col(id_col).isNotNull())
     prints, named = near_copies(scratch, asked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, jaccard, words, radius, recall, seed)
     chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("w"))
     named = named.join(chosen, "root").select("digest", F.col("w.first").alias("first"), F.col("w.digest").alias("best"))
@@ -477,7 +478,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     found = found.select(F.col("id").alias("_id"), F.col("digest").alias("_d"), (F.col("id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("best"))).alias("_stays"), "_n")
     others = scratch.put(found.where("not _stays or _n > 1").select("_id", "_d", "_stays"), "others")
     rows = mark(scratch, asked, F.col(id_col), others.select("_id"))
-    stay = rows.where(~F.col("_hit")).select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
+    stay = rows.where(~F.col("_hit")).select(*df.columns)
+    if not null_ids:
+        stay = stay.unionByName(df.where(F.col(id_col).isNull()))
     hit = _with_digest(rows.where("_hit").select(*df.columns), text_col, shingle, seed)
     hit = hit.join(others, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left")
     once = hit.where("_stays is null").select(*df.columns)

@@ -126,3 +126,12 @@ def test_one_of_each_of_rows_that_share_an_id(spark):
     rows = [(1, a, 0), (1, b, 1), (2, c, 2), (5, a, 3), (5, d, 4), (5, d, 5), (6, b, 6)]
     got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3), **NEAR)
     assert sorted((x.doc_id, x.text) for x in got.collect()) == sorted([(1, a), (1, b), (2, c), (5, d)])
+
+
+def test_one_of_each_of_rows_without_an_id(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join(f"w{r.getrandbits(40)}" for _ in range(100)) for _ in range(3))
+    rows = [(None, a), (None, a), (None, a + " more"), (None, b), (9, b), (9, c), (None, None), (None, "")]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **NEAR)
+    kept = [(x.doc_id, (x.text or "")[:20]) for x in got.collect()]
+    assert sorted(kept, key=str) == sorted([(None, a[:20]), (9, b[:20]), (9, c[:20]), (None, "")], key=str)
