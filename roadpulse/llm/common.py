@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,30 +19,73 @@ import roadpulse
 cloudpickle.register_pickle_by_value(roadpulse)
 
 
+class Shared:
+    """An object for all tasks: its attributes (arrays and plain containers) are broadcast, its class travels with
+    the function that uses it, so that workers need no module of this package."""
+
+    def __init__(self, spark: SparkSession, held) -> None:
+        self.kind, self.state = type(held), spark.sparkContext.broadcast(vars(held))
+
+    @property
+    def value(self):
+        out = object.__new__(self.kind)
+        out.__dict__.update(self.state.value)
+        return out
+
+
+#: Scratch folders of this process that are not yet deleted.
+OPEN: list[Scratch] = []
+
+
 class Scratch:
     """Tables in the folder that the cluster shares (``spark.checkpoint.dir``).
 
     Reading such a table cuts the lineage: a lost executor costs only the tasks that it ran, and no
-    stage is computed twice.  Where the setting is missing, as in tests, /tmp/checkpoints is used.
+    stage is computed twice.  Only a local master may leave the setting out; /tmp/checkpoints serves there.
+    An operator's result reads its folder, so the folder goes when the result is written: by ``close_scratch``, else
+    at the end of the process.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-        self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        self.spark, self.root, self.n = spark, f"{(base or '/tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+        OPEN.append(self)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def path(self, name: str) -> str:
         self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
+        return f"{self.root}/{self.n:03d}-{name}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm, sc = self.spark._jvm, self.spark._jsc
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(sc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._scratch_path)
+
+    def close(self) -> None:
+        self._delete(self.root)
+        OPEN.remove(self)
+
+
+@atexit.register
+def close_scratch(since: int = 0) -> None:
+    """Delete the folders of operators whose results are written: those opened after the first ``since``."""
+    for s in OPEN[since:]:
+        try:
+            s.close()
+        except Py4JError:  # the session is gone, and its gateway with it
+            OPEN.remove(s)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,12 +108,13 @@ def bitmap_words(hashes: DataFrame, column: str, bits: int) -> DataFrame:
     return hashes.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
 
 
-def mark(scratch: Scratch, df: DataFrame, key: Column, keys: DataFrame, bits: int = 1 << 22) -> DataFrame:
+def mark(scratch: Scratch, df: DataFrame, key: Column, keys: DataFrame, least: int = 16, most: int = 25) -> DataFrame:
     """``df`` with a column ``_hit``: true wherever ``key`` is in ``keys`` (one column), rarely elsewhere.
 
-    Rows that are not hit need no join, so long texts stay where they are.  What is broadcast is a bitmap
-    of ``bits`` places, whatever the number of keys; with very many keys more rows are hit.
+    Rows that are not hit need no join, so long texts stay where they are.  What is broadcast is a bitmap of some
+    eight places for each key, 2^``most`` at most (2^19 rows); with more keys than that bears, more rows are hit.
     """
+    bits = 1 << min(most, max(least, (8 * keys.count()).bit_length()))
     words = scratch.put(bitmap_words(keys.select(F.xxhash64(keys.columns[0]).alias("_k")), "_k", bits).select(F.col("word").alias("_word"), F.col("bit").alias("_bit")), "bitmap")
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
     bit = F.call_function("shiftright", F.coalesce("_bit", F.lit(0).cast("long")), F.pmod(slot, F.lit(64)).cast("int")).bitwiseAND(F.lit(1))
@@ -75,13 +122,23 @@ def mark(scratch: Scratch, df: DataFrame, key: Column, keys: DataFrame, bits: in
     return out.withColumn("_hit", bit == 1).drop("_word", "_bit")
 
 
+def with_least(scratch: Scratch, df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """``df`` with the least ``value`` of each ``by`` as ``name``.
+
+    The minimum is combined map-side and written first, so that the join is one of two plain tables: AQE splits a
+    ``by`` that very many rows share.
+    """
+    low = scratch.put(df.groupBy(by).agg(F.min(value).alias(name)), name)
+    return df.join(low, by)
+
+
 def components(scratch: Scratch, edges: DataFrame, kind: str = "long") -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, root) for each node of an edge, root
     being the smallest node of its component.
 
-    Alternates large-star and small-star steps until nothing changes.  A step groups by node with a
-    map-side minimum and joins that back to the edges, so the neighbours of a hub are never gathered.
-    Every second step ends in a scratch table.  Edges with equal or null ends count for nothing;
+    Alternates large-star and small-star steps until nothing changes.  A step takes the least neighbour of each
+    node, combined map-side, and joins it back (``with_least``), so a hub's edges are split over tasks.
+    No edge is held longer than two steps.  Edges with equal or null ends count for nothing;
     no edges give an empty table.
     """
     e = edges.select(F.col("a").cast(kind), F.col("b").cast(kind)).where("a <> b")
@@ -90,15 +147,14 @@ def components(scratch: Scratch, edges: DataFrame, kind: str = "long") -> DataFr
     while True:
         # Large star: every larger neighbour of a node goes to the node's smallest one.
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = with_least(scratch, both, "a", "b", "m").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        large = scratch.put(low.where("a <> b").distinct(), "large")
         # Small star: a node and its smaller neighbours go to the smallest of these.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a")
-        small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = with_least(scratch, large, "a", "b", "m")
+        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         new = scratch.put(small.where("a <> b").distinct(), "star")
         sign = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(e)
+        scratch.drop(e, large)
         e = new
         if tuple(sign) == before:
             break

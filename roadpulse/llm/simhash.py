@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch, components, mark, sub_batches
+from roadpulse.llm.common import Scratch, components, mark, sub_batches, with_least
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bit k of a byte, in byte k of a word: sums of up to 255 such words count eight bits at once.
@@ -276,7 +276,7 @@ def groups(scratch: Scratch, prints: DataFrame, radius: int, bits: int, recall:
     edges = scratch.put(rows.mapInArrow(_linker(radius), "a long, b long"), "links")
     roots = components(scratch, edges)
     named = scratch.put(distinct.join(roots, distinct.uid == roots.node, "left").select("fp", "first", F.coalesce("root", "uid").alias("root")), "named")
-    return named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
+    return with_least(scratch, named, "root", "first", "component_id").select("fp", "component_id")
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, words: int = 1, recall: float | None = None, seed: int = 42) -> DataFrame:
