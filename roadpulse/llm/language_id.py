@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch, sub_batches
+from roadpulse.llm.common import Scratch, Shared, sub_batches
 from roadpulse.llm.tokens import worker_store
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -30,6 +30,13 @@ SCRIPTS = [
 ]
 STARTS = [x[0] for x in SCRIPTS]
 
+#: Letters of a unit at most; scripts without spaces between words have short units.
+LONGEST, SPACELESS = 40, {"Han": 1, "Kana": 3, "Thai": 3, "Lao": 3, "Myanmar": 3, "Khmer": 3}
+#: Texts that may hold more than words of one script, and the units of a word: letters of one script.
+MANY = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2c00-\U0010ffff]")
+CLASSES = {name: "".join(f"{chr(a)}-{chr(b)}" for a, b, x in SCRIPTS if x == name) for name in dict.fromkeys(x[2] for x in SCRIPTS)}
+UNIT = re.compile("|".join([*(f"[{c}]{{1,{SPACELESS.get(name, LONGEST)}}}" for name, c in CLASSES.items()), f"[^{''.join(CLASSES.values())}]{{1,{LONGEST}}}"]))
+
 
 def script(word: str) -> str:
     c = ord(word[0])
@@ -37,15 +44,31 @@ def script(word: str) -> str:
     return SCRIPTS[k][2] if k >= 0 and c <= SCRIPTS[k][1] else "other"
 
 
+def units(text: str) -> list[str]:
+    """What is scored: the words of a text in lower case, cut where the script changes, after ``LONGEST`` letters, and
+    in scripts without spaces after one letter (Han) or three, so that every letter counts."""
+    text = text.lower()
+    words = WORD.findall(text)
+    if not text.isascii() and MANY.search(text):
+        return [u for w in words for u in UNIT.findall(w)]
+    if words and max(map(len, words)) > LONGEST:
+        return [u for w in words for u in ([w] if len(w) <= LONGEST else UNIT.findall(w))]
+    return words
+
+
 def grams(word: str) -> list[str]:
-    padded = f" {word[:40]} "
+    padded = f" {word} "
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
+#: Languages, and cells (words or trigrams times languages) of the model's tables, at most.
+MOST_LANGS, MOST_CELLS = 10_000, 1 << 24
+
+
 class Model:
     """Log-probabilities of words and letter trigrams for each language, and the scripts it is written in."""
 
-    def __init__(self, langs: list[str], words: dict[str, list[int]], trigrams: dict[str, list[int]], scripts: dict[str, list[int]], worst: float = 8.0) -> None:
+    def __init__(self, langs: list[str], words: dict[str, np.ndarray], trigrams: dict[str, np.ndarray], scripts: dict[str, np.ndarray], worst: float = 8.0) -> None:
         self.langs, self.worst, n = langs, worst, len(langs)
         self.words, self.trigrams = ({x: k for k, x in enumerate(t)} for t in (words, trigrams))
         self.word_logs, self.trigram_logs = self._logs(words, 0.1, n), self._logs(trigrams, 0.5, n)
@@ -56,7 +79,7 @@ class Model:
         self.able = np.array([*(np.array(scripts[x]) > 0.01 * np.maximum(total, 1) for x in names), np.zeros(n, bool)]).reshape(len(names) + 1, n)
 
     @staticmethod
-    def _logs(counts: dict[str, list[int]], prior: float, n: int) -> np.ndarray:
+    def _logs(counts: dict[str, np.ndarray], prior: float, n: int) -> np.ndarray:
         """Logs of the shares, with a last row of zeros for what is unknown."""
         m = np.array(list(counts.values()), np.float64).reshape(len(counts), n)
         m = np.log(m + prior) - np.log(m.sum(0) + prior * max(1, len(m)))
@@ -88,7 +111,7 @@ class Scores(dict):
 
     def __init__(self, model: Model, room: int = 300_000) -> None:
         super().__init__()
-        self.model, self.table = model, np.zeros((room, len(model.langs)), np.float32)
+        self.model, self.table = model, np.zeros((min(room, MOST_CELLS // len(model.langs)), len(model.langs)), np.float32)
 
     def rows(self, words: list[str]) -> np.ndarray:
         new = [w for w in set(words) if w not in self]
@@ -159,12 +182,16 @@ def one_language(s: np.ndarray, start: np.ndarray, penalty: float) -> tuple[np.n
 
 
 def train(df: DataFrame, rows, text_col: str, lang_col: str, id_col: str, per_lang: int, table_size: int, seed: int) -> Model:
-    """Fitted on about ``per_lang`` documents of each language (1,000 languages at most), chosen by a hash of the id."""
+    """Fitted on about ``per_lang`` documents of each language, chosen by a hash of the id.  Over ``MOST_LANGS``
+    languages raise ValueError; with many the table has fewer rows, so that its cells stay below ``MOST_CELLS``."""
     base = df.where(rows & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = {r[0]: r[1] for r in base.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(1000).collect()}
+    n = {r[0]: r[1] for r in base.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS + 1).collect()}
     langs = list(n)
     if not langs:
         return Model([], {}, {}, {})
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages")
+    table_size = min(table_size, MOST_CELLS // len(langs))
     scale = 1 << 24
     limit = df.sparkSession.createDataFrame([(x, int(scale * min(1.0, per_lang / n[x])), k) for k, x in enumerate(langs)], "l string, most long, k int")
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(scale))
@@ -175,7 +202,7 @@ def train(df: DataFrame, rows, text_col: str, lang_col: str, id_col: str, per_la
         for whole in batches:
             for b in sub_batches([whole], "text"):
                 for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    seen["w", k].update(WORD.findall(text.lower()))
+                    seen["w", k].update(units(text))
         for (_, k), words in list(seen.items()):
             for word, c in words.items():
                 for g in grams(word):
@@ -187,19 +214,26 @@ def train(df: DataFrame, rows, text_col: str, lang_col: str, id_col: str, per_la
                 part = items[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part)), pa.array([x for x, _ in part], pa.string()), pa.array([k] * len(part), pa.int32()), pa.array([c for _, c in part], pa.int64())], ["kind", "x", "k", "n"])
 
-    cells = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(len(langs))]
-    table = sample.mapInArrow(count, "kind string, x string, k int, n long").where("length(x) <= 40").groupBy("kind", "x").agg(F.sum("n").alias("n"), *cells)
+    each = sample.mapInArrow(count, "kind string, x string, k int, n long").groupBy("kind", "x", "k").agg(F.sum("n").alias("n"))
+    # One cell for each language at most.
+    table = each.groupBy("kind", "x").agg(F.sum("n").alias("n"), F.collect_list(F.struct("k", "n")).alias("cells"))
     table = Scratch(df.sparkSession, "language").put(table, "counts")
-    found = {kind: {r.x: list(r[3:]) for r in table.where(F.col("kind") == kind).where("n > 1").orderBy(F.desc("n"), "x").limit(table_size).collect()} for kind in "wgs"}
+    found: dict[str, dict[str, np.ndarray]] = {}
+    for kind in "wgs":
+        found[kind] = {}
+        for r in table.where(F.col("kind") == kind).where("n > 1").orderBy(F.desc("n"), "x").limit(table_size).collect():
+            found[kind][r.x] = np.zeros(len(langs), np.int64)
+            for k, c in r.cells:
+                found[kind][r.x][k] = c
     return Model(langs, found["w"], found["g"], found["s"])
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, fold: int = 2, penalty: float = 12.0, per_lang: int = 4000, table_size: int = 30_000, seed: int = 42, with_spans: bool = False) -> DataFrame:
     """The language of every whole text, from its words alone.
 
-    The words' scripts leave candidate languages; a word scores each by how often it, or else its letter
-    trigrams, occurred in that language; Viterbi with ``penalty`` for a switch labels the words, so mixed
-    texts fall into spans (``with_spans``: array of first word, last word + 1, language).  Texts in
+    The words' scripts leave candidate languages; a word (``units``: every letter of the text is in one) scores each by
+    how often it, or else its letter trigrams, occurred in that language; Viterbi with ``penalty`` for a switch labels the words, so mixed
+    texts fall into spans (``with_spans``: array of first unit, last unit + 1, language).  Texts in
     which no switch can pay are told by sums, with the same result.
 
     Learns from text and non-null ``lang_col`` of documents whose crc32(id as text) mod ``folds`` is not ``fold``,
@@ -209,19 +243,20 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     empty text in the crc.  Rows may repeat; other columns are not carried; no rows give no rows.
     """
     fold_of = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-    model = df.sparkSession.sparkContext.broadcast(train(df, fold_of != fold, text_col, lang_col, id_col, per_lang, table_size, seed))
+    model = Shared(df.sparkSession, train(df, fold_of != fold, text_col, lang_col, id_col, per_lang, table_size, seed))
 
     token = uuid.uuid4().hex
 
     def run(batches):
-        langs, store = model.value.langs, worker_store()
+        known, store = model.value, worker_store()
+        langs = known.langs
         if store.get("language", (None,))[0] != token:  # the worker's scores of this model outlive a task
-            store["language"] = token, Scores(model.value) if langs else None
+            store["language"] = token, Scores(known) if langs else None
         cache = store["language"][1]
         for whole in batches:
             for b in sub_batches([whole], "text", 4 << 20):
                 n = b.num_rows
-                words = [WORD.findall(t.lower()) if t else [] for t in b.column(2).to_pylist()]
+                words = [units(t) if t else [] for t in b.column(2).to_pylist()]
                 able = [k for k, w in enumerate(words) if w and cache is not None and any(map(str.isalpha, w))]
                 pred, score, spans = ["und"] * n, [0.0] * n, [[] for _ in range(n)]
                 if able:

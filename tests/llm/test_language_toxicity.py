@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from roadpulse.llm.language_id import identify, one_language, viterbi
+from roadpulse.llm.language_id import identify, one_language, units, viterbi
 from roadpulse.llm.toxicity import Model, segments, toxicity
 
 VOCAB = {"aa": ["the", "of", "and", "house", "river", "green", "walk"], "bb": ["der", "und", "haus", "fluss", "grün", "gehen", "das"], "cc": ["дом", "река", "и", "что", "зелёный", "идти", "это"]}
@@ -39,6 +39,25 @@ def test_language(spark):
     assert {x.lang_pred for x in identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
 
 
+def test_every_letter_counts(spark):
+    """Clauses without spaces whose letters after the 40th decide, words of mixed script, very long words."""
+    r = random.Random(2)
+    han = lambda a, n: "".join(chr(r.randint(a, a + 60)) for _ in range(n))
+    rows = [(i, han(0x4E00, 40) + han(0x5000 if i % 2 else 0x6000, 260), "x" if i % 2 else "y") for i in range(200)]
+    rows += [(1000 + i, "ab" * 20 + ("cd" if i % 2 else "fg") * 30, "p" if i % 2 else "q") for i in range(100)]
+    want = {i: lang for i, _, lang in rows}
+    rows += [(2000, "python" + han(0x5000, 50), None), (2001, han(0x6000, 50) + "python", None), (2002, "ab" * 20 + "cd" * 200_000, None)]
+    got = {x.doc_id: x.lang_pred for x in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert {i: got[i] for i in want} == want and (got[2000], got[2001], got[2002]) == ("x", "y", "p")
+    assert units("Python汉字 สวัสดีครับ " + "Z" * 90) == ["python", "汉", "字", *(u for w in ["สว", "สด", "คร", "บ"] for u in [w]), "z" * 40, "z" * 40, "z" * 10]
+
+
+def test_many_languages(spark):
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" * 3, f"l{i // 2:04}") for i in range(2400)]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 2400 and all(x.lang_pred.startswith("l") for x in got)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_sums_agree_with_viterbi(seed):
     r = np.random.default_rng(seed)
