@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch, sub_batches
+from roadpulse.llm.common import Scratch, Shared, sub_batches
 
 TOKEN = re.compile(r"\w+")
 EULER = 0.5772156649015329
@@ -20,6 +21,11 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def name(word: str) -> str:
+    """What stands for the word in tables: the word, or its beginning and a digest if it has over 64 letters."""
+    return word if len(word) <= 64 else f"{word[:24]}#{hashlib.sha256(word.encode()).hexdigest()[:24]}"
+
+
 def stems(word: str) -> list[str]:
     """The word's beginnings of 6, 5 and 4 letters, which stand in for words that are too rare."""
     return [word[:k] + "*" for k in (6, 5, 4) if len(word) > k]
@@ -41,8 +47,8 @@ class Weights(dict):
         self.known, self.room = known, room
 
     def __missing__(self, word: str) -> float:
-        w = next((self.known[x] for x in (word, *stems(word)) if x in self.known), 0.0)
-        if len(word) <= 64:
+        w = next((self.known[x] for x in (name(word), *stems(word)) if x in self.known), 0.0)
+        if len(word) <= 64:  # memory: longer ones are looked up each time
             if len(self) >= self.room:
                 self.clear()
             self[word] = w
@@ -92,19 +98,18 @@ class Model:
 
         return scores
 
-    def fit_law(self, clean: list[np.ndarray]) -> None:
-        """rate: the root of E exp(rate * score) = 1 over tokens; log_k: from the mean of the best segments."""
-        values, counts = np.unique(np.concatenate([*clean, np.zeros(1)]), return_counts=True)
-        p, v = counts / counts.sum(), values - self.drift
-        if v.max() <= 0:
+    def fit_law(self, values: np.ndarray, counts: np.ndarray, best: float, log_n: float) -> None:
+        """rate: the root of E exp(rate * score) = 1 over the tokens of clean texts (``counts`` of each of
+        ``values``); log_k: from the means of their best segments and of the logs of their lengths."""
+        p, v = counts / max(1, counts.sum()), values - self.drift
+        if not len(v) or v.max() <= 0:
             return
         low, high = 1e-6, 50.0
         for _ in range(80):
             mid = (low + high) / 2
             low, high = (mid, high) if (p * np.exp(np.minimum(mid * v, 700))).sum() < 1 else (low, mid)
         self.rate = low
-        best = [(max((s for s, _, _ in segments(x, self.drift)), default=0.0), len(x)) for x in clean if len(x)]
-        self.log_k = float(np.mean([self.rate * s - np.log(n) for s, n in best])) - EULER if best else 0.0
+        self.log_k = self.rate * best - log_n - EULER
 
     def features(self, x: np.ndarray) -> tuple[float, float, list]:
         """Of the best segment and of all significant ones together: minus the log of the number of such
@@ -150,58 +155,109 @@ class Model:
         self.coef[1:] = np.maximum(self.coef[1:] / scale, 0)
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, fold: int, sample_rows: int, table_size: int, drift: float, seed: int) -> Model:
-    """Fitted on at most ``sample_rows`` labelled documents, chosen by a hash of the id; one of each equal text counts."""
+class Folds:
+    """Weights for each part of the sample, learned from the other parts."""
+
+    def __init__(self, weights: list[dict[str, float]], drift: float, rate: float = 1.0, log_k: float = 0.0) -> None:
+        self.weights, self.drift, self.rate, self.log_k = weights, drift, rate, log_k
+
+    def models(self) -> list[tuple]:
+        """(model, function from a text to its tokens' weights) of each part."""
+        out = []
+        for w in self.weights:
+            m = Model(w, self.drift)
+            m.rate, m.log_k = self.rate, self.log_k
+            out.append((m, m.scorer()))
+        return out
+
+
+def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, fold: int, sample_rows: int, table_size: int, drift: float, seed: int, parts: int = 10) -> Model:
+    """Fitted on at most ``sample_rows`` labelled documents, chosen by a hash of the id; one of each equal text counts.
+
+    The extreme-value law and the calibration see each text through weights that the other ``parts`` - 1 parts of the
+    sample gave (cross-fitting); the driver gets the counts of distinct weights and two features of each text.
+    """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "toxicity")
     fold_of = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(fold_of != fold)
     marks = marks.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows)
     marks = scratch.put(marks, "labels")
     sample = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(marks), "id")
-    sample = scratch.put(sample.select("text", "y", F.xxhash64("text").alias("same")), "sample")
+    sample = scratch.put(sample.select("text", "y", F.sha2("text", 256).alias("same")).groupBy("same").agg(F.max("y").alias("y"), F.any_value("text").alias("text")).select("text", "y", F.pmod(F.xxhash64("same"), F.lit(parts)).cast("int").alias("part")), "sample")
 
     def count(batches):
-        seen, met, docs = (Counter(), Counter()), set(), [0, 0]
+        seen: defaultdict = defaultdict(Counter)
         for whole in batches:
             for b in sub_batches([whole], "text"):
-                for text, y, same in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if same not in met:
-                        met.add(same)
-                        found = set(tokens(text))
-                        docs[y > 0] += 1
-                        seen[y > 0].update(found.union(*map(stems, found)))
-        seen[0][""], seen[1][""] = docs  # the empty token stands for all documents
-        words = list(seen[0] | seen[1])
-        for at in range(0, len(words), 50_000):
-            w = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([seen[1][x] for x in w], pa.int64()), pa.array([seen[0][x] for x in w], pa.int64())], ["x", "toxic", "clean"])
-
-    counts = scratch.put(sample.mapInArrow(count, "x string, toxic long, clean long").groupBy("x").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "counts")
-    docs = counts.where("x = ''").first()
-    n1, n0 = (docs.toxic, docs.clean) if docs else (0, 0)
+                for text, y, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    found = set(tokens(text))
+                    # The empty token stands for all documents.
+                    seen[part, y > 0].update({""}.union(map(name, found), *map(stems, found)))
+        for (part, toxic), own in seen.items():
+            words = list(own)
+            for at in range(0, len(words), 50_000):
+                w = words[at : at + 50_000]
+                n, none = pa.array([own[x] for x in w], pa.int64()), pa.array([0] * len(w), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([part] * len(w), pa.int32()), n if toxic else none, none if toxic else n], ["x", "part", "toxic", "clean"])
+
+    each = [F.sum(F.when(F.col("part") == p, F.col(c)).otherwise(0)).alias(f"{c}{p}") for p in range(parts) for c in ("toxic", "clean")]
+    counts = sample.mapInArrow(count, "x string, part int, toxic long, clean long").groupBy("x").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *each)
+    counts = scratch.put(counts, "counts")
+    docs = counts.where("x = ''").first() or dict.fromkeys(counts.columns, 0)
     # The table: tokens of three documents at least, those that lean most to one side first.
-    lean = F.abs(F.col("toxic") / F.lit(float(n1 or 1)) - F.col("clean") / F.lit(float(n0 or 1))) / F.sqrt(F.col("toxic") + F.col("clean"))
-    top = counts.where("x <> '' and toxic + clean >= 3 and length(x) <= 64").orderBy(F.desc(lean), "x").limit(table_size).collect()
-    d = log_odds(np.array([r.toxic for r in top], float), np.array([r.clean for r in top], float), n1, n0)
-    model = Model({r.x: float(v) for r, v in zip(top, d, strict=True) if v}, drift)
-    # Scores of the sample's tokens, without zeros: (length, positions, values) of each text.
-    sent = spark.sparkContext.broadcast(model)
-
-    def weigh(batches):
-        scores = sent.value.scorer()
+    lean = F.abs(F.col("toxic") / F.lit(float(docs["toxic"] or 1)) - F.col("clean") / F.lit(float(docs["clean"] or 1))) / F.sqrt(F.col("toxic") + F.col("clean"))
+    top = counts.where("x <> '' and toxic + clean >= 3").orderBy(F.desc(lean), "x").limit(table_size).collect()
+    n = {c: np.array([r[c] for r in top], float) for c in counts.columns[1:]}
+
+    def weights(without: int | None = None) -> dict[str, float]:
+        t, c, all_t, all_c = n["toxic"], n["clean"], docs["toxic"], docs["clean"]
+        if without is not None:
+            t, c, all_t, all_c = t - n[f"toxic{without}"], c - n[f"clean{without}"], all_t - docs[f"toxic{without}"], all_c - docs[f"clean{without}"]
+        d = np.where(t + c >= 3, log_odds(t, c, all_t, all_c), 0.0)
+        return {r.x: float(v) for r, v in zip(top, d, strict=True) if v}
+
+    model = Model(weights(), drift)
+    others = Folds([weights(p) for p in range(parts)], drift)
+    sent = Shared(spark, others)
+
+    def law(batches):
+        """(kind, x, n): how often tokens of clean texts have weight x (``v``), and the sums of their best segments, of
+        the logs of their lengths and of their number."""
+        models, found = sent.value.models(), defaultdict(float)
         for whole in batches:
             for b in sub_batches([whole], "text"):
-                x = [scores(t) for t in b.column(0).to_pylist()]
-                at = [np.flatnonzero(v) for v in x]
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(len, x)), pa.int64()), pa.array([a.tolist() for a in at], pa.list_(pa.int32())), pa.array([v[a].tolist() for v, a in zip(x, at, strict=True)], pa.list_(pa.float64())), b.column(1)], ["n", "at", "v", "y"])
-
-    rows = sample.mapInArrow(weigh, "n long, at array<int>, v array<double>, y int").toPandas()
-    dense = [np.bincount(np.asarray(at, np.int64), v, n) if n else np.zeros(0) for n, at, v in zip(rows["n"], rows["at"], rows["v"], strict=True)]
-    label = (rows["y"] > 0).to_numpy() if len(rows) else np.zeros(0, bool)
-    model.fit_law([x for x, y in zip(dense, label, strict=True) if not y][:5000])
-    feature = [model.features(x)[:2] for x in dense]
+                for text, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    x = models[part][1](text)
+                    if not len(x):
+                        continue
+                    for v, k in zip(*np.unique(x, return_counts=True), strict=True):
+                        found["v", float(v)] += k
+                    found["best", 0.0] += max((s for s, _, _ in segments(x, drift)), default=0.0)
+                    found["log", 0.0] += float(np.log(len(x)))
+                    found["texts", 0.0] += 1
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([v for _, v in keys], pa.float64()), pa.array([float(found[k]) for k in keys], pa.float64())], ["kind", "x", "n"])
+
+    clean = sample.where("y <= 0").select("text", "part")
+    sums = clean.mapInArrow(law, "kind string, x double, n double").groupBy("kind", "x").agg(F.sum("n").alias("n")).orderBy("kind", "x").collect()
+    got = {r.kind: r.n for r in sums if r.kind != "v"}
+    own = [r for r in sums if r.kind == "v"]
+    texts = got.get("texts", 0) or 1
+    model.fit_law(np.array([r.x for r in own], float), np.array([r.n for r in own], float), got.get("best", 0.0) / texts, got.get("log", 0.0) / texts)
+    others.rate, others.log_k = model.rate, model.log_k
+    fitted = Shared(spark, others)
+
+    def features(batches):
+        models = fitted.value.models()
+        for whole in batches:
+            for b in sub_batches([whole], "text"):
+                rows = [models[p][0].features(models[p][1](t))[:2] for t, p in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.float64()), pa.array([x for _, x in rows], pa.float64()), b.column(1)], ["best", "whole", "y"])
+
+    rows = sample.mapInArrow(features, "best double, whole double, y int").orderBy("y", "best", "whole").toArrow()
+    label = rows["y"].to_numpy() > 0
     if 0 < label.sum() < len(label):
-        model.calibrate(np.array(feature), np.array(label, np.float64))
+        model.calibrate(np.stack([rows["best"].to_numpy(), rows["whole"].to_numpy()], 1), label.astype(np.float64))
     else:
         model.coef = np.array([-3.0 if not label.any() else 3.0, 0.0, 0.0])
     return model
@@ -224,13 +280,14 @@ def toxicity(
     a null id counts as the empty text in the crc; without labels of both kinds the score is constant.
     Rows may repeat (labels of one id: the highest counts); other columns are not carried; no rows give no rows.
     """
-    model = df.sparkSession.sparkContext.broadcast(train(df, labels, id_col, text_col, label_col, folds, fold, sample_rows, table_size, drift, seed))
+    model = Shared(df.sparkSession, train(df, labels, id_col, text_col, label_col, folds, fold, sample_rows, table_size, drift, seed))
 
     def run(batches):
-        scores = model.value.scorer()
+        known = model.value
+        scores = known.scorer()
         for whole in batches:
             for b in sub_batches([whole], "text", 4 << 20):
-                found = [model.value.probability(scores(t or "")) for t in b.column(2).to_pylist()]
+                found = [known.probability(scores(t or "")) for t in b.column(2).to_pylist()]
                 out = [b.column(0), b.column(1), pa.array([p for p, _ in found], pa.float64())]
                 if with_passages:
                     out.append(pa.array([[{"first": x, "last": y, "strength": e} for e, x, y in k] for _, k in found], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("strength", pa.float64())]))))
@@ -245,13 +302,14 @@ def toxicity(
 
 def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, fold: int = 1, threshold: float = 0.7, sample_rows: int = 20_000, table_size: int = 20_000, drift: float = 0.2, seed: int = 42) -> DataFrame:
     """The rows of ``df``, all columns, whose score in ``toxicity`` is below ``threshold``; nothing is shuffled."""
-    model = df.sparkSession.sparkContext.broadcast(train(df, labels, id_col, text_col, label_col, folds, fold, sample_rows, table_size, drift, seed))
+    model = Shared(df.sparkSession, train(df, labels, id_col, text_col, label_col, folds, fold, sample_rows, table_size, drift, seed))
 
     def run(batches):
-        scores = model.value.scorer()
+        known = model.value
+        scores = known.scorer()
         for whole in batches:
             for b in sub_batches([whole], text_col, 4 << 20):
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-                yield b.filter(pa.array([model.value.probability(scores(t or ""))[0] < threshold for t in texts]))
+                yield b.filter(pa.array([known.probability(scores(t or ""))[0] < threshold for t in texts]))
 
     return df.mapInArrow(run, df.schema)

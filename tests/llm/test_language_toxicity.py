@@ -131,6 +131,25 @@ def test_toxicity(spark):
     assert toxicity(df.limit(0), marks).count() == 0
 
 
+def test_very_long_words_and_texts_and_reruns(spark):
+    r = random.Random(3)
+    bad = ["q" * 90 + "a", "q" * 90 + "b"]  # told apart only after the 64th letter
+    docs, labels = [], []
+    for i in range(600):
+        words, y = r.choices([f"w{k}" for k in range(200)], k=60), i % 5 == 0
+        words[30:30] = [bad[1 - y]] * 3
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(y)))
+    docs += [(3001, "w1 " * 200_000 + bad[0] + " " + bad[0] + " " + bad[0]), (3002, "w1 " * 200_000)]
+    df, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = lambda x: {t.doc_id: (t.score, t.predicted) for t in toxicity(x, marks).collect()}
+    got = scores(df.repartition(2))
+    assert scores(df.repartition(5)) == got
+    held = [i for i, _ in labels if fold(i, 3) == 1]
+    assert all(got[i][1] == (i % 5 == 0) for i in held) and got[3002][1] == 0
+    assert got[3001][0] > got[3002][0]
+
+
 def test_late_passage_of_words_used_before():
     m = Model({"idiot": 3.0, "moron": 3.0, "scum": 3.0}, 0.2)
     words = ["w"] * 100_000
