@@ -47,7 +47,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(load(spark, sf_dir, "documents"))
+    """The contract's columns, and ``text``: what is left, without parted characters."""
+    return remove_repeats(load(spark, sf_dir, "documents"), with_text=True, decode=True).withColumnRenamed("kept", "text")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,13 +39,17 @@ def rolling(t: np.ndarray, length: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def gram_length(length: int) -> int:
+    return 1 << max(0, min(64, length // 6).bit_length() - 1)
+
+
 def anchors(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of window starts: (anchor, first, last + 1, whether it may repeat itself).  The anchor of a
     window of ``length`` bytes is the smallest hash of the grams in it, so equal windows have equal
     anchors, wherever they lie.  A run can only hold equal windows if its anchor occurs in it twice."""
     if len(t) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    gram = 1 << max(0, min(64, length // 6).bit_length() - 1)
+    gram = gram_length(length)
     grams = rolling(t, gram)
     low, size, span = grams, 1, length - gram + 1
     while 2 * size <= span:
@@ -144,6 +148,41 @@ def suffix_array(t: np.ndarray, w: np.ndarray, h: np.ndarray, depth: int) -> np.
     return np.concatenate(out)
 
 
+def equal_bytes(w: np.ndarray, p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes from ``p`` and from ``q`` on are equal, ``most`` at most; eight at a time, while any go on."""
+    n, live = np.full(len(p), most), np.arange(len(p))
+    for d in range(0, most, 8):
+        if not len(live):
+            break
+        x = w[p[live] + d] ^ w[q[live] + d]
+        end = np.flatnonzero(x)
+        n[live[end]] = d + sum((x[end] >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(1, 8))
+        live = live[x == 0]
+    return np.minimum(n, most)
+
+
+def common_prefixes(t: np.ndarray, w: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, n): suffix p follows suffix q in ``order`` and n bytes of both are equal, ``most`` at most; p ascends.
+
+    While p and q both step on by one, the first byte that differs stays where it is.  So bytes are compared at
+    the end of each such chain only, and before that the next difference in the chain tells n.
+    """
+    phi = np.full(len(t) + 1, -1)
+    phi[order[1:]] = order[:-1]
+    p = np.flatnonzero(phi >= 0)
+    q = phi[p]
+    if not len(p):
+        return p, q, p
+    last = np.r_[(p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1), True]
+    bound = len(t) + most + 1
+    differ = np.where(t[p] != t[q], p, bound - 1)
+    end = np.flatnonzero(last)
+    differ[end] = p[end] + equal_bytes(w, p[end], q[end], most)
+    shift = np.cumsum(np.r_[False, last[:-1]]) * bound  # keeps the minimum inside a chain
+    following = np.minimum.accumulate((differ + shift)[::-1])[::-1] - shift
+    return p, q, np.minimum(following - p, most)
+
+
 def repeated(texts: list[bytes], owned: list[int], length: int) -> list[np.ndarray]:
     """For each text, which of its first ``owned`` positions start ``length`` bytes that also start at an
     owned position elsewhere.  So many bytes follow every owned position in its text."""
@@ -157,64 +196,42 @@ def repeated(texts: list[bytes], owned: list[int], length: int) -> list[np.ndarr
     for b, k in zip(begin.tolist(), owned, strict=True):
         mine[b : b + k] = True
     order = suffix_array(t, w, h, length)
-    order = order[mine[order]]
-    # Common prefixes of neighbours: only where the pair does not continue the pair one byte before
-    # are all bytes compared; else the last byte is left.
-    phi = np.full(len(t) + 1, -1)
-    phi[order[1:]] = order[:-1]
-    p = np.flatnonzero(phi >= 0)
-    p = p[h[p] == h[phi[p]]]
-    q = phi[p]
-    if not len(p):
-        return [np.zeros(k, bool) for k in owned]
-    goes_on = np.r_[False, (p[1:] == p[:-1] + 1) & (q[1:] == q[:-1] + 1)]
-    same = np.zeros(len(p), bool)
-    same[goes_on] = t[p[goes_on] + length - 1] == t[q[goes_on] + length - 1]
-
-    def compare(k: np.ndarray) -> None:
-        ok = np.ones(len(k), bool)
-        for d in range(0, length - 7, 8):
-            live = np.flatnonzero(ok)
-            ok[live] = w[p[k[live]] + d] == w[q[k[live]] + d]
-        tail = np.flatnonzero(ok)
-        ok[tail] = w[p[k[tail]] + length - 8] == w[q[k[tail]] + length - 8] if length >= 8 else w[p[k[tail]]] >> np.uint64(64 - 8 * length) == w[q[k[tail]]] >> np.uint64(64 - 8 * length)
-        same[k] = ok
-
-    compare(np.flatnonzero(~goes_on))
-    chain = np.cumsum(~goes_on)
-    broken = np.bincount(chain, ~same, minlength=int(chain[-1]) + 1) > 0
-    compare(np.flatnonzero(broken[chain]))
+    p, q, n = common_prefixes(t, w, order[mine[order]], length)
     hit = np.zeros(len(t), bool)
-    hit[p[same]] = True
-    hit[q[same]] = True
+    hit[p[n >= length]] = True
+    hit[q[n >= length]] = True
     return [hit[b : b + k] for b, k in zip(begin.tolist(), owned, strict=True)]
 
 
-def repeated_by_hash(texts: list[bytes], owned: list[int], length: int, passes: int) -> list[np.ndarray]:
-    """The same for more text than fits a suffix array: windows meet by two hashes, a share of them at a time."""
+def runs_of(keep: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.r_[False, keep, False].astype(np.int8)))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def repeated_in_shares(texts: list[bytes], owned: list[int], length: int, most_bytes: int) -> list[np.ndarray]:
+    """``repeated`` for texts of any total length, a suffix array of about ``most_bytes`` at a time.
+
+    Windows whose hash occurs once can't repeat and are left out first.  What is left is sorted by shares of the
+    hashes: equal windows have equal hashes, so they are in the same share.
+    """
     out = [np.zeros(k, bool) for k in owned]
-    for turn in range(passes):
-        a, b, who, at = [], [], [], []
-        for k, x in enumerate(texts):
-            t = np.frombuffer(x, np.uint8)
-            h = rolling(t, length)[: owned[k]]
-            s = np.flatnonzero(h % np.uint64(passes) == turn)
-            a.append(h[s])
-            b.append(rolling(t[::-1], length)[::-1][s])
-            who.append(np.full(len(s), k))
-            at.append(s)
-        a, b, who, at = (np.concatenate(v) for v in (a, b, who, at))
-        o = np.lexsort((b, a))
-        same = (a[o[1:]] == a[o[:-1]]) & (b[o[1:]] == b[o[:-1]])
-        for k in np.unique(np.r_[o[1:][same], o[:-1][same]]).tolist():
-            out[who[k]][at[k]] = True
+    hashes = [rolling(np.frombuffer(x, np.uint8), length)[:k] for x, k in zip(texts, owned, strict=True)]
+    value, count = np.unique(np.concatenate(hashes), return_counts=True)
+    twice = value[count > 1]
+    keep = [np.isin(h, twice) for h in hashes]
+    cost = sum(b - a + length for k in keep for a, b in runs_of(k))
+    shares = 1 if cost <= most_bytes else -(-sum(int(k.sum()) for k in keep) * length // most_bytes)
+    for share in range(shares):
+        cut = [(i, a, b) for i, k in enumerate(keep) for a, b in runs_of(k & (hashes[i] % np.uint64(shares) == share))]
+        if cut:
+            for (i, a, b), hit in zip(cut, repeated([texts[i][a : b - 1 + length] for i, a, b in cut], [b - a for _, a, b in cut], length), strict=True):
+                out[i][a:b] |= hit
     return out
 
 
 def spans_of(hit: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Bytes covered by windows at the marked starts, as (from, to) of each run of starts."""
-    edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-    return [(a, b - 1 + length) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+    return [(a, b - 1 + length) for a, b in runs_of(hit)]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -250,9 +267,8 @@ def _first_scan(length: int):
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(whos).view(np.int64))], ["h", "who"])
         for key, _, h, first, _, own in _scan(batches, length):
             if len(h):
-                with np.errstate(over="ignore"):
-                    who = (np.frombuffer(key[:8], np.uint64)[0] ^ first.astype(np.uint64) * MIX) * np.uint64(0xBF58476D1CE4E5B9)
-                    whos += [who ^ (who >> np.uint64(31)), ~who[own]]
+                who = _places(key, first)
+                whos += [who, ~who[own]]
                 hs += [h, h[own]]
                 n += len(h)
                 if n > 50_000:
@@ -269,18 +285,69 @@ def _inside(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _hot_scan(length: int, hot):
-    """(x, y, key, start): two hashes of every window of the runs whose anchor is in the bitmap."""
+def _hot_windows(length: int, hot):
+    """(h, who): a hash of every window of the runs whose anchor is in the bitmap, and of the text and place."""
 
     def run(batches):
+        for key, data, h, first, last, _ in _scan(batches, length):
+            runs = np.flatnonzero(_inside(hot.value, h))
+            if len(runs):
+                at = np.concatenate([np.arange(first[k], last[k]) for k in runs.tolist()])
+                x = rolling(np.frombuffer(data, np.uint8), length)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(_places(key, at).view(np.int64))], ["h", "who"])
+
+    return run
+
+
+def _places(key: bytes, at: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        who = (np.frombuffer(key[:8], np.uint64)[0] ^ at.astype(np.uint64) * MIX) * np.uint64(0xBF58476D1CE4E5B9)
+        return who ^ (who >> np.uint64(31))
+
+
+def _hot_pieces(length: int, hot, windows, step: int):
+    """(h, who, key, start, seg): pieces of the runs whose anchor is in ``hot``, without windows that are not in ``windows``.
+
+    Equal windows hold their anchor at the same distance d from their start.  A piece has windows of one text whose
+    d // ``step`` is the same; all windows of that kind hold ``length`` - ``step`` + 1 bytes around the anchor in common,
+    and h is a hash of these, of d // ``step`` and of the anchor: the anchor refined by further bytes.
+    """
+    gram = gram_length(length)
+
+    def run(batches):
+        out, size = [], 0
+
+        def rows():
+            cols = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["h", "who", "key", "start", "seg"])
+
         for key, data, h, first, last, _ in _scan(batches, length):
             runs = np.flatnonzero(_inside(hot.value, h))
             if not len(runs):
                 continue
             t = np.frombuffer(data, np.uint8)
-            at = np.concatenate([np.arange(first[k], last[k]) for k in runs.tolist()])
-            x, y = rolling(t, length)[at], rolling(t[::-1], length)[::-1][at]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.ascontiguousarray(y).view(np.int64)), pa.array([key] * len(at), pa.binary()), pa.array(at.astype(np.int64))], ["x", "y", "key", "start"])
+            x, grams = rolling(t, length), rolling(t, gram)
+            for k in runs.tolist():
+                at = np.arange(first[k], last[k])
+                places = first[k] + np.flatnonzero(grams[first[k] : last[k] + length - gram] == h[k])
+                place = places[np.searchsorted(places, at)]
+                kind = (place - at) // step
+                keep = _inside(windows.value, x[at])
+                cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (kind[1:] != kind[:-1]) | (keep[1:] != keep[:-1]), True])
+                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    if not keep[a]:
+                        continue
+                    begin = int(place[a] - kind[a] * step)
+                    common = data[begin : begin + length - step + 1]
+                    name = hashlib.sha256(b"%d %d " % (h[k], kind[a]) + common).digest()[:8]
+                    seg = data[at[a] : at[b - 1] + length]
+                    out.append((int.from_bytes(name, "big", signed=True), int(_places(key, at[a : a + 1])[0].view(np.int64)), key, int(at[a]), seg))
+                    size += len(seg)
+            if size > 4 << 20:
+                yield rows()
+                out, size = [], 0
+        if out:
+            yield rows()
 
     return run
 
@@ -310,10 +377,11 @@ def _second_scan(length: int, bitmap, hot):
 
 
 def _match(length: int, batch_bytes: int, most_bytes: int):
-    """Over rows sorted by (h, key, start): (key, a, b), bytes a to b - 1 of text key lie in repeated windows."""
+    """Over rows (h, key, start, seg, many) sorted by h: (key, a, b), bytes a to b - 1 of text key lie in repeated
+    windows.  ``many``: the bytes stand at several places already."""
 
     def run(batches):
-        waiting: list[tuple[bytes, list]] = []  # unique runs of whole anchor groups, and where they are
+        waiting: list[tuple[bytes, tuple[bool, list]]] = []  # unique runs of whole anchor groups, and where they are
         size = 0
 
         def flush():
@@ -322,10 +390,10 @@ def _match(length: int, batch_bytes: int, most_bytes: int):
             if not texts:
                 return
             # Runs of different anchors share no window, so they may be sorted together.
-            found = repeated(texts, owned, length) if size <= most_bytes else repeated_by_hash(texts, owned, length, -(-size // most_bytes))
+            found = repeated(texts, owned, length) if size <= most_bytes else repeated_in_shares(texts, owned, length, most_bytes)
             out = []
-            for (text, places), hit in zip(waiting, found, strict=True):
-                for a, b in [(0, len(text))] if len(places) > 1 else spans_of(hit, length):
+            for (text, (many, places)), hit in zip(waiting, found, strict=True):
+                for a, b in [(0, len(text))] if many else spans_of(hit, length):
                     out += [(key, start + a, start + b) for key, start in places]
             waiting, size = [], 0
             if out:
@@ -340,13 +408,14 @@ def _match(length: int, batch_bytes: int, most_bytes: int):
 
         def close():
             nonlocal group, size
-            if len(group) > 1 or any(len(p) > 1 or itself(x) for x, p in group.items()):
+            group = {x: (many or len(p) > 1, p) for x, (many, p) in group.items()}
+            if len(group) > 1 or any(many or itself(x) for x, (many, _) in group.items()):
                 waiting.extend(group.items())
                 size += sum(map(len, group))
             group = {}
 
         for b in batches:
-            for h, key, start, seg in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for h, key, start, seg, many in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if h != anchor:
                     held = size
                     close()
@@ -365,7 +434,7 @@ def _match(length: int, batch_bytes: int, most_bytes: int):
                         yield from flush()
                     anchor = h
                 if (h, key, start) != last:
-                    group.setdefault(seg, []).append((key, start))
+                    group.setdefault(seg, (many, []))[1].append((key, start))
                     last = (h, key, start)
         close()
         yield from flush()
@@ -384,12 +453,15 @@ def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch,
     3. There, runs of whole anchor groups fill a buffer, whose suffix array shows the repeats.
 
     An anchor of over ``hot_runs`` runs, as a passage that very many texts share has, would be too much for a
-    task.  Windows of such runs are dealt out one by one, by two hashes of their bytes, and counted.
+    task.  Such anchors are refined (``_hot_pieces``): windows whose hash is met at one place only are left out, the
+    others are dealt out in pieces by the bytes around their anchor, and equal pieces are made one, with a mark that
+    there are several, before the shuffle.  Pieces then meet in suffix arrays as runs do, and what is found goes
+    back to the places by a join on the piece.
     """
     spark, sc = scratch.spark, scratch.spark.sparkContext
     texts = df.select(F.col(text_col).cast("binary").alias("text")).where(F.length("text") >= length)
-    met = texts.mapInArrow(_first_scan(length), "h long, who long").groupBy("h").agg(F.min("who").alias("x"), F.max("who").alias("y"), F.count("*").alias("n"))
-    met = scratch.put(met.where("x <> y").select("h", "n"), "anchors")
+    twice = lambda rows: rows.groupBy("h").agg(F.min("who").alias("x"), F.max("who").alias("y"), F.count("*").alias("n")).where("x <> y").select("h", "n")
+    met = scratch.put(twice(texts.mapInArrow(_first_scan(length), "h long, who long")), "anchors")
 
     def bitmap(values: DataFrame, bits: int):
         out = np.zeros(bits >> 6, np.uint64)
@@ -400,15 +472,18 @@ def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch,
 
     many = met.where(F.col("n") > hot_runs)
     hot = bitmap(many, 1 << 22)
-    runs = texts.mapInArrow(_second_scan(length, bitmap(met, bitmap_bits), hot), "h long, key binary, start long, seg binary")
+    runs = texts.mapInArrow(_second_scan(length, bitmap(met, bitmap_bits), hot), "h long, key binary, start long, seg binary").withColumn("many", F.lit(False))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.put(runs.repartition(n, "h").sortWithinPartitions("h", "key", "start").mapInArrow(_match(length, batch_bytes, most_bytes), "key binary, a long, b long"), "matches")
+    match = lambda rows, name: scratch.put(rows.repartition(n, "h").sortWithinPartitions("h", "key", "start").mapInArrow(_match(length, batch_bytes, most_bytes), "key binary, a long, b long"), name)
+    found = match(runs, "matches")
     if not many.isEmpty():
-        each = scratch.put(texts.mapInArrow(_hot_scan(length, hot), "x long, y long, key binary, start long"), "windows")
-        place = F.struct("key", "start")
-        twice = each.groupBy("x", "y").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("x", "y")
-        found = found.unionByName(each.join(twice, ["x", "y"]).select("key", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
-    return found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        windows = bitmap(scratch.put(twice(texts.mapInArrow(_hot_windows(length, hot), "h long, who long")), "windows"), bitmap_bits)
+        pieces = scratch.put(texts.mapInArrow(_hot_pieces(length, hot, windows, max(1, length // 8)), "h long, who long, key binary, start long, seg binary"), "pieces")
+        once = pieces.groupBy("h", "seg").agg(F.min("who").alias("x"), F.max("who").alias("y"))
+        hits = match(once.select("h", F.col("seg").alias("key"), F.lit(0).cast("long").alias("start"), "seg", (F.col("x") != F.col("y")).alias("many")), "hits")
+        back = pieces.select("key", "start", "seg").join(hits.withColumnRenamed("key", "seg"), "seg")
+        found = found.unionByName(back.select("key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")))
+    return found.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, decode: bool = False, carry: list[str] | None = None, **how) -> DataFrame:

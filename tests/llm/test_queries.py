@@ -11,7 +11,7 @@ COLUMNS = {
     "op1_topk": "query_id rank vec_id score",
     "op2_embedding_neardup": "vec_id n_links component_id kept",
     "op3_sharding": "doc_id size text_crc32 law shard slot grown_shard",
-    "op4_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op4_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256 text",
     "op5_mixing": "doc_id size source_size target taken",
     "op6_language_id": "doc_id held_out lang_pred score",
     "op7_simhash": "doc_id fingerprint component_id",

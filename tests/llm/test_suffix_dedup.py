@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from roadpulse.llm.suffix_dedup import anchors, remove_repeats, repeated, repeated_by_hash, rolling, suffix_array, words
+from roadpulse.llm.suffix_dedup import anchors, common_prefixes, remove_repeats, repeated, repeated_in_shares, rolling, suffix_array, words
 
 
 def brute(texts, n):
@@ -60,7 +60,23 @@ def test_repeated(seed):
     seen = Counter(x[i : i + n] for x, k in zip(texts, owned) for i in range(k))
     want = [[seen[x[i : i + n]] > 1 for i in range(k)] for x, k in zip(texts, owned)]
     assert [x.tolist() for x in repeated(texts, owned, n)] == want
-    assert [x.tolist() for x in repeated_by_hash(texts, owned, n, 3)] == want
+    assert [x.tolist() for x in repeated_in_shares(texts, owned, n, 10**6)] == want
+    assert [x.tolist() for x in repeated_in_shares(texts, owned, n, 5 * n)] == want
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_common_prefixes(seed):
+    r = np.random.default_rng(seed)
+    t = np.tile(r.integers(97, 97 + r.integers(1, 4), 60, dtype=np.uint8), 4)
+    t[r.integers(0, len(t), 3)] = 110
+    most, b = int(r.choice([5, 8, 17, 64])), t.tobytes()
+    order = np.array(sorted(range(len(t)), key=lambda i: b[i:]))
+    order = order[r.random(len(t)) < 0.8]
+    p, q, n = common_prefixes(t, words(t, most + 8), order, most)
+    same = lambda i, j: next((k for k in range(most) if b[i + k : i + k + 1] != b[j + k : j + k + 1] or i + k >= len(b)), most)
+    inside = (p + most <= len(t)) & (q + most <= len(t))
+    assert {(i, j) for i, j in zip(p.tolist(), q.tolist())} == {(j, i) for i, j in zip(order.tolist(), order[1:].tolist())}
+    assert n[inside].tolist() == [same(i, j) for i, j in zip(p[inside].tolist(), q[inside].tolist())]
 
 
 def corpus(n):
@@ -75,7 +91,7 @@ def corpus(n):
     return out
 
 
-@pytest.mark.parametrize("n,how", [(32, {}), (400, {}), (32, {"batch_bytes": 500, "most_bytes": 900}), (32, {"hot_runs": 4}), (32, {"bitmap_bits": 1 << 10})])
+@pytest.mark.parametrize("n,how", [(32, {}), (400, {}), (32, {"batch_bytes": 500, "most_bytes": 900}), (32, {"hot_runs": 4}), (32, {"hot_runs": 0}), (400, {"hot_runs": 2}), (32, {"hot_runs": 1, "batch_bytes": 500, "most_bytes": 900}), (32, {"bitmap_bits": 1 << 10})])
 def test_equals_brute_force(spark, n, how):
     texts = corpus(n)
     df = spark.createDataFrame([(None if i == 3 else i % 100, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, key string").repartition(3)
