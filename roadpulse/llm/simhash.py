@@ -33,10 +33,15 @@ def shingles(text: bytes, n: int) -> list[bytes]:
 def fingerprint(text: str, n: int, words: int = 1, seed: int = 42) -> bytes:
     """8 bytes, the most significant first: a bit is 1 if over half of the shingles' XXH64 have it.
     Each of further ``words`` takes the hashes mixed once more."""
-    found, out = shingles(text.encode(), n), b""
+    found = shingles(text.encode(), n)
     if not found:
         return bytes(8 * words)
-    h = np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in found]), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in found]), np.uint8).reshape(-1, 8), words)
+
+
+def majority(h: np.ndarray, words: int) -> bytes:
+    """The bits that over half of the hashes ``h`` (n, 8 bytes, the most significant first) have."""
+    out = b""
     for _ in range(words):
         if out:
             with np.errstate(over="ignore"):
@@ -304,27 +309,27 @@ def shingle_set(text: str, n: int, seed: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, seed) for s in shingles(text.encode(), n)]), ">u8").astype(np.uint64))
 
 
-class Sketch:
-    """Min-wise hashes of a set: keys of ``bands`` bands of four minima each, on which sets of Jaccard similarity
-    J agree with probability J^4 a band, and 64 * ``words`` bits, each of which differs with probability (1 - J) / 2."""
+class Bands:
+    """Min-wise hashes of a set of shingles: keys of bands of four minima each, on which sets of Jaccard similarity J
+    agree with probability J^4 a band.  They tell which SimHash fingerprints are compared."""
 
-    def __init__(self, bands: int, words: int, seed: int) -> None:
+    def __init__(self, bands: int, seed: int) -> None:
         r = np.random.default_rng(seed)
-        self.bands, self.words = bands, words
-        self.by = r.integers(0, 1 << 63, max(4 * bands, 64 * words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.bands = bands
+        self.by = r.integers(0, 1 << 63, 4 * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.turn = r.integers(0, 1 << 63, (bands, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __call__(self, found: np.ndarray) -> tuple[bytes, np.ndarray]:
+    def __call__(self, found: np.ndarray) -> np.ndarray:
         if not len(found):
-            return bytes(8 * self.words), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64)
         low = np.full(len(self.by), ALL)
         with np.errstate(over="ignore"):
             for at in range(0, len(found), 128):
                 low = np.minimum(low, (found[at : at + 128, None] * self.by).min(0))
             low = (low ^ low >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-            key = ((low ^ low >> np.uint64(29))[: 4 * self.bands].reshape(-1, 4) * self.turn).sum(1)
+            key = ((low ^ low >> np.uint64(29)).reshape(-1, 4) * self.turn).sum(1)
             key = (key ^ key >> np.uint64(32)) * np.uint64(0x94D049BB133111EB) + np.arange(self.bands, dtype=np.uint64)
-        return np.packbits((low >> np.uint64(63)).astype(np.uint8)[: 64 * self.words]).tobytes(), key.view(np.int64)
+        return key.view(np.int64)
 
 
 def bands_for(jaccard: float, recall: float) -> int:
@@ -336,8 +341,17 @@ def _digest(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
+def within(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs of rows (a, b) of the fingerprints are at most ``radius`` apart, bit-sliced."""
+    if not len(a):
+        return np.zeros(0, bool)
+    far = planes(fps[a] ^ fps[b])
+    live = np.packbits(np.r_[np.ones(len(a), bool), np.zeros(-len(a) % 64, bool)], bitorder="little").view(np.uint64)
+    return lanes(close(lambda j, cols: far[j, cols], len(far), far.shape[1], radius, live), len(a))
+
+
 def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 17):
-    """Over rows sorted by (key, part): pairs (a, b) of a group that sizes and sketches allow and whose roots
+    """Over rows sorted by (key, part): pairs (a, b) of a group whose sizes and fingerprints allow it and whose roots
     differ; of each group's first row with all others if ``star``, else of all its rows."""
 
     def pairs(rows: pa.Table):
@@ -349,12 +363,12 @@ def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 17):
         if not len(many):
             return
         uid, root, n = (rows[c].to_numpy() for c in ("uid", "root", "n"))
-        fps = np.frombuffer(b"".join(rows["fp"].to_pylist()), np.uint64).reshape(len(key), -1)
+        fps = np.frombuffer(b"".join(rows["fp"].to_pylist()), np.uint8).reshape(len(key), -1)
 
         def allowed(a, b):
             ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= jaccard * np.maximum(n[a], n[b]) - 1e-9)
             a, b = a[ok], b[ok]
-            ok = np.bitwise_count(fps[a] ^ fps[b]).sum(1) <= radius
+            ok = within(fps, a, b, radius)
             a, b = uid[a[ok]], uid[b[ok]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -386,8 +400,11 @@ def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 17):
 
 def _met(scratch: Scratch, nodes: DataFrame, jaccard: float, radius: int, star: bool, part_rows: int = 8192) -> DataFrame:
     """Distinct candidate pairs (a, b) of ``nodes`` (uid, root, n, fp, keys)."""
+    keys = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m"))
+    shared = scratch.put(keys.where("m > 1"), "shared")
     rows = nodes.select("uid", "root", "n", "fp", F.explode("keys").alias("key"))
-    large = scratch.put(rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > 2 * part_rows).select("key", F.ceil(F.col("m") / part_rows).cast("int").alias("parts")), "large")
+    rows = mark(scratch, rows, F.col("key"), shared.select("key")).where("_hit").drop("_hit")  # others meet nobody
+    large = shared.where(F.col("m") > 2 * part_rows).select("key", F.ceil(F.col("m") / part_rows).cast("int").alias("parts"))
     if large.isEmpty():
         rows = rows.withColumn("part", F.lit(0))
     else:
@@ -423,16 +440,17 @@ def near_copies(scratch: Scratch, df: DataFrame, shingle: int, jaccard: float, w
     of shingles; sets that links of Jaccard similarity ``jaccard`` or more join have the same root.
 
     Sets that agree on a band of min-wise hashes (probability ``recall`` at a similarity of ``jaccard``, more above it)
-    and differ in at most ``radius`` of 64 * ``words`` sketch bits are candidates; each candidate's
-    sets are compared exactly.  Candidates are first the pairs with the first row of a group, then all
+    meet, and their SimHash fingerprints, of 64 * ``words`` bits over the distinct shingles, are compared
+    bit-sliced.  Those at most ``radius`` apart are candidates; each candidate's sets are compared exactly.  Candidates are first the pairs with the first row of a group, then all
     pairs that those have not joined, so large groups of copies need few comparisons.
     """
-    sketch = Sketch(bands_for(jaccard, recall), words, seed)
+    bands = Bands(bands_for(jaccard, recall), seed)
 
     def run(batches):
         for b in sub_batches(batches, "text", 4 << 20):
             found = [shingle_set(t or "", shingle, seed) for t in b.column(1).to_pylist()]
-            fps, keys = zip(*map(sketch, found), strict=True)
+            keys = [bands(x) for x in found]
+            fps = [majority(x.astype(">u8").view(np.uint8).reshape(-1, 8), words) if len(x) else bytes(8 * words) for x in found]
             ends = np.cumsum([0, *map(len, keys)])
             cols = [b.column(0), pa.array(list(map(_digest, found)), pa.binary()), pa.array(list(map(len, found)), pa.int32()), pa.array(fps, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))]
             yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "n", "fp", "keys"])
@@ -461,7 +479,7 @@ def _with_digest(df: DataFrame, text_col: str, shingle: int, seed: int) -> DataF
     return df.mapInArrow(run, df.select("*", F.lit(b"").alias("_digest")).schema)
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, jaccard: float = 0.8, words: int = 4, radius: int = 58, recall: float = 1 - 1e-8, seed: int = 42, null_ids: bool = False) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, jaccard: float = 0.8, words: int = 4, radius: int = 80, recall: float = 1 - 1e-6, seed: int = 42, null_ids: bool = False) -> DataFrame:
     """The rows of ``df``, all columns, that have the smallest id of their group of near copies (``near_copies``).
 
     A row is told by its id and its set of shingles: of rows with the same id and unlike texts each counts for itself,
