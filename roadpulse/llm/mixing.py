@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch
+from roadpulse.llm.common import Scratch, mark
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
@@ -82,7 +82,7 @@ class Flight:
         return [(x[2], k) for x, k in zip(self.open, best, strict=True)]
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, chunk_rows: int = 20_000, seed: int = 42) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, chunk_rows: int = 4096, most_sources: int = 1_000_000, seed: int = 42) -> DataFrame:
     """How much of each document a mix of the sources takes.
 
     Size: words ``[^\\x20\\x09-\\x0D]+`` of the text (null: 0).  A source's target over its size is the
@@ -90,7 +90,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     decided by balanced sampling on documents and words, so a source's words miss its target by less
     than about one document.
 
-    Each source is cut into chunks of about ``chunk_rows`` documents by a hash of the id; each chunk's flight
+    Each source is cut into chunks of about ``chunk_rows`` documents by a hash of id and text; each chunk's flight
     leaves at most two documents open, which meet in the next flight, and the source lands in the flight in
     which it is one chunk, whatever the other sources need.  The decisions depend on the rows and
     ``seed`` only, so reruns agree.
@@ -98,14 +98,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     Returns ``id_col``, size, source_size, target, taken, copies, source.  ``source_size``/``target``
     are its source's.  Rows may repeat; null ids and sources are values like others; documents of size
     0 take 0 words and floor(r) copies; other columns are not carried; no rows give no rows.  The driver holds one
-    number for each source (at most ``chunk_rows`` times 50 sources; more raise ValueError).
+    number for each source (over ``most_sources`` raise ValueError).
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "mixing")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch.put(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(50 * chunk_rows + 1).collect()
-    if len(found) > 50 * chunk_rows:
+    rows = scratch.put(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("hash")), "sizes")
+    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(most_sources + 1).collect()
+    if len(found) > most_sources:
         raise ValueError("too many sources")
     goal = targets({r.source: r["size"] for r in found}, weights, share, most)
     kind, skind = df.schema[id_col].dataType.simpleString(), df.schema[source_col].dataType.simpleString()
@@ -114,14 +114,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rows = rows.join(F.broadcast(table), rows.source.eqNullSafe(table.s)).drop("s").withColumn("ratio", F.least(ratio, F.lit(float(most))))
     base = F.floor(F.col("ratio") + EPS)
     state = rows.withColumn("base", base.cast("int")).withColumn("fraction", F.greatest(F.col("ratio") - base, F.lit(0.0))).drop("ratio").withColumn("decided", F.when((F.col("fraction") < EPS) | (F.col("size") == 0), F.lit(0)))
-    schema = f"id {kind}, source {skind}, size long, source_size long, target double, base int, fraction double, decided int"
-    columns = ["id", "source", "size", "source_size", "target", "base", "fraction", "decided"]
+    schema = f"id {kind}, source {skind}, size long, source_size long, target double, base int, fraction double, hash long, decided int"
+    columns = ["id", "source", "size", "source_size", "target", "base", "fraction", "hash", "decided"]
     done = [state.where("decided is not null").select(*columns)]
     state, level = state.where("decided is null"), 0
     while True:
         chunks = F.ceil(F.col("m") / max(4, chunk_rows))
-        state = state.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed + level)), chunks).cast("int")).select(*columns, "chunk", (chunks == 1).alias("last"))
-        state = state.repartition("source", "chunk").sortWithinPartitions("source", "chunk", F.xxhash64("id", F.lit(seed)), "id", "size")
+        state = state.withColumn("chunk", F.pmod(F.xxhash64("hash", F.lit(level)), chunks).cast("int")).select(*columns, "chunk", (chunks == 1).alias("last"))
+        state = state.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "hash", "id", "size")
         flown = scratch.put(state.mapInArrow(_fly(seed + level), schema), f"flight{level}")
         done.append(flown.where("decided is not null"))
         state, level = flown.where("decided is null"), level + 1
@@ -136,6 +136,37 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), F.col("source").alias(source_col))
 
 
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``df``, all columns, each as often as ``mix`` takes it: 0, 1 or 2 times.
+
+    A row's key is a hash of 128 bits over all its columns, so rows without an id or with the same one are told
+    apart; of equal rows any stand for all.  Rows that are taken as often as most of their source stay where they are;
+    the others (``mark``) are joined with the decisions by key.  The key's name is ``_key``, the columns ``_usual``,
+    ``_taken`` and ``_rows`` are used as well; ``df`` has none of these names.
+    """
+    scratch = Scratch(df.sparkSession, "mixed")
+    half = lambda k: F.hex(F.xxhash64(F.lit(k), *(F.col(f"`{c}`") for c in df.columns)))
+    keyed = df.withColumn("_key", F.concat_ws("-", half(1), half(2)))
+    taken = mix(keyed, "_key", text_col, source_col, **how).select("_key", F.col(source_col).alias("_source"), "copies")
+    taken = scratch.put(taken.groupBy("_key", "_source").agg(F.sum("copies").cast("int").alias("_taken"), F.count("*").alias("_rows")), "taken")
+    usual = taken.where("_rows = 1").groupBy("_source", "_taken").agg(F.count("*").alias("n")).groupBy("_source").agg(F.max(F.struct("n", "_taken")).alias("w"))
+    usual = F.broadcast(scratch.put(usual.select("_source", F.col("w._taken").alias("_usual")), "usual"))  # a row for each source
+    other = taken.join(usual.withColumnRenamed("_source", "s"), F.col("_source").eqNullSafe(F.col("s")), "left").where("_rows > 1 or not (_taken <=> _usual)")
+    other = scratch.put(other.select("_key", "_taken", "_rows"), "other")
+    rows = keyed.join(usual, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
+    rows = mark(scratch, rows, F.col("_key"), other.select("_key"))
+    hit = rows.where("_hit").join(other.where("_rows = 1"), "_key", "left").join(other.where("_rows > 1").select("_key"), "_key", "left_anti")
+    parts = [rows.where("not _hit").withColumn("_n", F.col("_usual")), hit.withColumn("_n", F.coalesce("_taken", "_usual"))]
+    if not other.where("_rows > 1").isEmpty():
+        again = rows.where("_hit").join(other.where("_rows > 1"), "_key").dropDuplicates(["_key"])
+        parts.append(again.withColumn("_n", F.col("_taken")))
+    out = None
+    for x in parts:
+        x = x.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*df.columns)
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 def _fly(seed: int):
     def run(batches):
         key, flight, at, landing = object(), None, 0, False
@@ -143,7 +174,7 @@ def _fly(seed: int):
         def close():
             if flight is None:
                 return []
-            return flight.land() if landing else [((*x[2][:6], x[1], None), None) for x in flight.open]
+            return flight.land() if landing else [((*x[2][:6], x[1], x[2][7]), None) for x in flight.open]
 
         schema = None
         for b in batches:
@@ -164,5 +195,5 @@ def _fly(seed: int):
 
 
 def _rows(decided: list, schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*((*row[:7], k) for row, k in decided), strict=True)) or [()] * 8
+    cols = list(zip(*((*row[:8], k) for row, k in decided), strict=True)) or [()] * 9
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)

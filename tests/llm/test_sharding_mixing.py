@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from roadpulse.llm.mixing import mix, targets
+from roadpulse.llm.mixing import Flight, mix, mixed, targets
 from roadpulse.llm.sharding import Cells, minimax_cuts, shard_documents
 
 
@@ -93,3 +93,51 @@ def test_mix_of_more_sources_than_a_chunk_has_rows(spark):
         goal[x.source] = x.target
         assert 0 <= x.copies <= 2
     assert len(goal) == 151 and all(abs(taken[s] - goal[s]) <= 7 for s in goal)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_a_flight_keeps_both_totals(seed):
+    """Brute force: the sums of fractions and of fraction times size stay what they were, decided rows included."""
+    r = random.Random(seed)
+    rows = [(r.choice([1, 5, 40, 300]), r.choice([0.5, 0.25, r.random()])) for _ in range(300)]
+    flight, done = Flight(seed), []
+    for k, (size, p) in enumerate(rows):
+        done += flight.add(size, p, k)
+        assert len(flight.open) <= 2
+        held = [(rows[j][0], z) for j, z in done] + [(x[0], x[1]) for x in flight.open]
+        assert sum(z for _, z in held) == pytest.approx(sum(p for _, p in rows[: k + 1]))
+        assert sum(s * z for s, z in held) == pytest.approx(sum(s * p for s, p in rows[: k + 1]))
+    assert sorted([j for j, _ in done] + [x[2] for x in flight.open]) == list(range(300)) and {z for _, z in done} <= {0, 1}
+    exact = sum(x[0] * x[1] for x in flight.open)
+    landed = sum(rows[j][0] * z for j, z in flight.land())
+    assert abs(landed - exact) <= min(abs(sum(c) - exact) for c in ([], *([x[0]] for x in flight.open), [x[0] for x in flight.open])) + 1e-9
+
+
+def test_mix_of_forty_sources_in_small_chunks_with_clashing_columns(spark):
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 40}", 1, 2.0, "x", 3, 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, fraction double, id string, base int, chunk int")
+    got = mix(df, chunk_rows=20).collect()
+    assert sorted(x.doc_id for x in got) == list(range(400))
+    by = Counter()
+    for x in got:
+        by[x.source] += x.taken - x.target / sum(y.source == x.source for y in got)
+    assert all(abs(v) <= 9 for v in by.values())
+
+
+def test_mixed_rows(spark):
+    """Null ids, an id with many texts, equal rows and very long texts; each row as often as it was taken."""
+    rows = [(None if i % 3 else 7, f"text {i} " + "w " * (i % 50), "hot" if i % 2 else None, i) for i in range(900)] + [(1, "same words", "b", 0)] * 90 + [(2, "w " * 300_000, "c", 0), (3, None, "d", 1), (4, "", "d", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(4)
+    got = mixed(df)
+    assert got.columns == df.columns
+    got = Counter(map(tuple, got.collect()))
+    assert set(got) <= set(rows) and all(n <= 2 * rows.count(x) for x, n in got.items())
+    words = lambda t: len((t or "").split())
+    sizes, taken = Counter(), Counter()
+    for _, t, s, _ in rows:
+        sizes[s] += words(t)
+    for (_, t, s, _), n in got.items():
+        taken[s] += n * words(t)
+    assert all(abs(taken[s] - goal) <= (52 if s != "c" else 300_000) for s, goal in targets(sizes).items())
+    assert Counter(map(tuple, mixed(df.repartition(2)).collect())) == got
+    assert mixed(df.limit(0)).count() == 0
