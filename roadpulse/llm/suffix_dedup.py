@@ -486,8 +486,9 @@ def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch,
     return found.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, decode: bool = False, carry: list[str] | None = None, **how) -> DataFrame:
-    """Remove each byte of a text that lies in ``length`` bytes which also start anywhere else.
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, decode: bool = False, carry: list[str] | None = None, least_words: int = 0, **how) -> DataFrame:
+    """Remove each byte of a text that lies in ``length`` bytes which also start anywhere else; with ``least_words``
+    only from maximal runs of such bytes that hold so many words.
 
     Texts are UTF-8 bytes (null: empty); matches never cross documents; repeats in the same document
     count and may overlap; all is judged on the input.  Rows with equal texts of ``length`` bytes or more
@@ -509,19 +510,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     digest = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     some = flagged.where("_hit").join(spans, "key", "left").select("text", "sha", "spans", "whole", "id", *more)
-    some = some.mapInArrow(_cut(with_text, decode), "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", kept {shape}" * with_text + "".join(f", {c} {kinds[c]}" for c in ("id", *more)))
+    some = some.mapInArrow(_cut(with_text, decode, least_words), "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", kept {shape}" * with_text + "".join(f", {c} {kinds[c]}" for c in ("id", *more)))
     zero, whole = F.lit(0).cast("long"), F.col("text").cast(shape)
     rest = flagged.where(~F.col("_hit")).select(F.length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), *([whole.alias("kept")] if with_text else []), "id", *more)
     return some.unionByName(rest).select(F.col("id").alias(id_col), *digest, *(F.col(c).alias(name) for c, name in more.items()))
 
 
-def _cut(with_text: bool, decode: bool):
+def _cut(with_text: bool, decode: bool, least_words: int):
     def run(batches):
         for whole in batches:
             for b in sub_batches([whole], "text"):
                 out = []
                 for text, sha, spans, all_ in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                     spans = [(0, len(text))] if all_ and text else merged([(s["a"], s["b"]) for s in spans or []])
+                    if least_words:
+                        spans = [(a, e) for a, e in spans if len(text[a:e].split()) >= least_words]
                     if spans:
                         ends = [0, *(e for _, e in spans)]
                         kept = b"".join(text[a:s] for a, (s, _) in zip(ends, [*spans, (len(text), 0)], strict=True))
