@@ -350,6 +350,10 @@ def within(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.nda
     return lanes(close(lambda j, cols: far[j, cols], len(far), far.shape[1], radius, live), len(a))
 
 
+#: Sets of fewer shingles have fingerprints that differ more (halves of a few votes); they get a quarter more.
+FEW = 16
+
+
 def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 17):
     """Over rows sorted by (key, part): pairs (a, b) of a group whose sizes and fingerprints allow it and whose roots
     differ; of each group's first row with all others if ``star``, else of all its rows."""
@@ -368,7 +372,10 @@ def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 17):
         def allowed(a, b):
             ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= jaccard * np.maximum(n[a], n[b]) - 1e-9)
             a, b = a[ok], b[ok]
-            ok = within(fps, a, b, radius)
+            few = np.minimum(n[a], n[b]) < FEW
+            ok = np.zeros(len(a), bool)
+            for some, reach in ((few, radius + radius // 4), (~few, radius)):
+                ok[some] = within(fps, a[some], b[some], reach)
             a, b = uid[a[ok]], uid[b[ok]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -398,10 +405,8 @@ def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 17):
     return run
 
 
-def _met(scratch: Scratch, nodes: DataFrame, jaccard: float, radius: int, star: bool, part_rows: int = 8192) -> DataFrame:
-    """Distinct candidate pairs (a, b) of ``nodes`` (uid, root, n, fp, keys)."""
-    keys = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m"))
-    shared = scratch.put(keys.where("m > 1"), "shared")
+def _met(scratch: Scratch, nodes: DataFrame, shared: DataFrame, jaccard: float, radius: int, star: bool, part_rows: int = 8192) -> DataFrame:
+    """Distinct candidate pairs (a, b) of ``nodes`` (uid, root, n, fp, keys); ``shared``: (key, m), keys of several nodes."""
     rows = nodes.select("uid", "root", "n", "fp", F.explode("keys").alias("key"))
     rows = mark(scratch, rows, F.col("key"), shared.select("key")).where("_hit").drop("_hit")  # others meet nobody
     large = shared.where(F.col("m") > 2 * part_rows).select("key", F.ceil(F.col("m") / part_rows).cast("int").alias("parts"))
@@ -458,9 +463,11 @@ def near_copies(scratch: Scratch, df: DataFrame, shingle: int, jaccard: float, w
     prints = scratch.put(df.select("id", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, digest binary, n int, fp binary, keys array<long>"), "prints")
     nodes = prints.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = scratch.put(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
+    keys = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m"))
+    shared = scratch.put(keys.where("m > 1"), "shared")
     named, edges = nodes.withColumn("root", F.col("uid")), None
     for star in (True, False):
-        pairs = scratch.put(_met(scratch, named, jaccard, radius, star), "pairs")
+        pairs = scratch.put(_met(scratch, named, shared, jaccard, radius, star), "pairs")
         links = scratch.put(_verified(scratch, df, nodes, pairs, shingle, jaccard, seed), "links")
         edges = links if edges is None else edges.unionByName(links)
         roots = components(scratch, edges)
@@ -479,7 +486,7 @@ def _with_digest(df: DataFrame, text_col: str, shingle: int, seed: int) -> DataF
     return df.mapInArrow(run, df.select("*", F.lit(b"").alias("_digest")).schema)
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, jaccard: float = 0.8, words: int = 4, radius: int = 80, recall: float = 1 - 1e-6, seed: int = 42, null_ids: bool = False) -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, jaccard: float = 0.8, words: int = 8, radius: int = 122, recall: float = 1 - 1e-6, seed: int = 42, null_ids: bool = False) -> DataFrame:
     """The rows of ``df``, all columns, that have the smallest id of their group of near copies (``near_copies``).
 
     A row is told by its id and its set of shingles: of rows with the same id and unlike texts each counts for itself,

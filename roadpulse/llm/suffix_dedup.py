@@ -463,21 +463,23 @@ def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch,
     twice = lambda rows: rows.groupBy("h").agg(F.min("who").alias("x"), F.max("who").alias("y"), F.count("*").alias("n")).where("x <> y").select("h", "n")
     met = scratch.put(twice(texts.mapInArrow(_first_scan(length), "h long, who long")), "anchors")
 
-    def bitmap(values: DataFrame, bits: int):
+    def bitmap(values: DataFrame):
+        """Some 16 places for each value, ``bitmap_bits`` at most."""
+        bits = min(bitmap_bits, 1 << max(10, (16 * values.count()).bit_length()))
         out = np.zeros(bits >> 6, np.uint64)
+        rows = bitmap_words(values, "h", bits).toArrow()
         # The last bits of a negative number are those of the unsigned one.
-        for word, bit in bitmap_words(values, "h", bits).collect():
-            out[word] = np.uint64(bit & 0xFFFFFFFFFFFFFFFF)
+        out[rows["word"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
         return sc.broadcast(out)
 
     many = met.where(F.col("n") > hot_runs)
-    hot = bitmap(many, 1 << 22)
-    runs = texts.mapInArrow(_second_scan(length, bitmap(met, bitmap_bits), hot), "h long, key binary, start long, seg binary").withColumn("many", F.lit(False))
+    hot = bitmap(many)
+    runs = texts.mapInArrow(_second_scan(length, bitmap(met), hot), "h long, key binary, start long, seg binary").withColumn("many", F.lit(False))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     match = lambda rows, name: scratch.put(rows.repartition(n, "h").sortWithinPartitions("h", "key", "start").mapInArrow(_match(length, batch_bytes, most_bytes), "key binary, a long, b long"), name)
     found = match(runs, "matches")
     if not many.isEmpty():
-        windows = bitmap(scratch.put(twice(texts.mapInArrow(_hot_windows(length, hot), "h long, who long")), "windows"), bitmap_bits)
+        windows = bitmap(scratch.put(twice(texts.mapInArrow(_hot_windows(length, hot), "h long, who long")), "windows"))
         pieces = scratch.put(texts.mapInArrow(_hot_pieces(length, hot, windows, max(1, length // 8)), "h long, who long, key binary, start long, seg binary"), "pieces")
         once = pieces.groupBy("h", "seg").agg(F.min("who").alias("x"), F.max("who").alias("y"))
         hits = match(once.select("h", F.col("seg").alias("key"), F.lit(0).cast("long").alias("start"), "seg", (F.col("x") != F.col("y")).alias("many")), "hits")
