@@ -23,8 +23,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: Near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more, by an exact check of each
 #: candidate.  A pair of similarity 0.8 is no candidate with a probability of some 10^-6 by the bands; its SimHash
-#: fingerprints of 256 bits differ in 38 +- 6 bits (48 +- 6 for sets of five and four shingles).
-NEAR = {"shingle": 5, "jaccard": 0.8, "words": 4, "radius": 80, "recall": 1 - 1e-6, "null_ids": True}
+#: fingerprints of 512 bits differ in 77 +- 8 bits (97 +- 9 for sets of five and four shingles, which get a quarter more).
+NEAR = {"shingle": 5, "jaccard": 0.8, "words": 8, "radius": 122, "recall": 1 - 1e-6, "null_ids": True}
 
 #: A repeated passage has over 50 words, so 101 bytes at least.
 PASSAGE = {"length": 101, "least_words": 51}
