@@ -343,18 +343,21 @@ def _digest(found: np.ndarray) -> bytes:
 
 def within(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Which of the pairs of rows (a, b) of the fingerprints are at most ``radius`` apart, bit-sliced."""
-    if not len(a):
-        return np.zeros(0, bool)
-    far = planes(fps[a] ^ fps[b])
-    live = np.packbits(np.r_[np.ones(len(a), bool), np.zeros(-len(a) % 64, bool)], bitorder="little").view(np.uint64)
-    return lanes(close(lambda j, cols: far[j, cols], len(far), far.shape[1], radius, live), len(a))
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 14):
+        x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+        far = planes(fps[x] ^ fps[y])
+        live = np.packbits(np.r_[np.ones(len(x), bool), np.zeros(-len(x) % 64, bool)], bitorder="little").view(np.uint64)
+        hit = close(lambda j, cols, far=far: far[j, cols], len(far), far.shape[1], radius, live)
+        out[at : at + len(x)] = lanes(hit, len(x))
+    return out
 
 
 #: Sets of fewer shingles have fingerprints that differ more (halves of a few votes); they get a quarter more.
 FEW = 16
 
 
-def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 17):
+def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 16):
     """Over rows sorted by (key, part): pairs (a, b) of a group whose sizes and fingerprints allow it and whose roots
     differ; of each group's first row with all others if ``star``, else of all its rows."""
 

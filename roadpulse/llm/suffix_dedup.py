@@ -122,13 +122,13 @@ def suffix_array(t: np.ndarray, w: np.ndarray, h: np.ndarray, depth: int) -> np.
     change = np.flatnonzero(t[1:] != t[:-1])
     after = np.r_[t[change + 1] > t[change], False]  # of each run of equal bytes; the end is smallest
     smaller = np.repeat(after, np.diff(np.r_[0, change + 1, n]))
-    direct = direct_sort(np.flatnonzero(smaller), w, h, depth)
+    direct = direct_sort(np.flatnonzero(smaller).astype(np.int32), w, h, depth)
     border = np.searchsorted(t[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[t[-1]].append(np.array([n - 1]))
+    waiting[t[-1]].append(np.array([n - 1], np.int32))
     out = []
     for c in range(256):
-        front, wave = waiting[c], np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
+        front, wave = waiting[c], np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int32)
         front = [wave]
         while len(wave):  # runs of this byte
             wave = wave[wave > 0] - 1
@@ -167,10 +167,11 @@ def common_prefixes(t: np.ndarray, w: np.ndarray, order: np.ndarray, most: int)
     While p and q both step on by one, the first byte that differs stays where it is.  So bytes are compared at
     the end of each such chain only, and before that the next difference in the chain tells n.
     """
-    phi = np.full(len(t) + 1, -1)
+    phi = np.full(len(t) + 1, -1, np.int32)
     phi[order[1:]] = order[:-1]
     p = np.flatnonzero(phi >= 0)
     q = phi[p]
+    del phi
     if not len(p):
         return p, q, p
     last = np.r_[(p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1), True]
@@ -179,8 +180,11 @@ def common_prefixes(t: np.ndarray, w: np.ndarray, order: np.ndarray, most: int)
     end = np.flatnonzero(last)
     differ[end] = p[end] + equal_bytes(w, p[end], q[end], most)
     shift = np.cumsum(np.r_[False, last[:-1]]) * bound  # keeps the minimum inside a chain
-    following = np.minimum.accumulate((differ + shift)[::-1])[::-1] - shift
-    return p, q, np.minimum(following - p, most)
+    differ += shift
+    differ = np.minimum.accumulate(differ[::-1])[::-1]
+    differ -= shift
+    differ -= p
+    return p, q, np.minimum(differ, most)
 
 
 def repeated(texts: list[bytes], owned: list[int], length: int) -> list[np.ndarray]:
@@ -189,13 +193,13 @@ def repeated(texts: list[bytes], owned: list[int], length: int) -> list[np.ndarr
     t = np.frombuffer(b"\xff".join(texts), np.uint8)
     w = words(t, length + 8)
     h = np.zeros(len(t), np.uint64)
-    found = rolling(t, length)
-    h[: len(found)] = found
+    h[: max(0, len(t) - length + 1)] = rolling(t, length)
     begin = np.cumsum([0, *(len(x) + 1 for x in texts)])[:-1]
     mine = np.zeros(len(t), bool)
     for b, k in zip(begin.tolist(), owned, strict=True):
         mine[b : b + k] = True
     order = suffix_array(t, w, h, length)
+    del h
     p, q, n = common_prefixes(t, w, order[mine[order]], length)
     hit = np.zeros(len(t), bool)
     hit[p[n >= length]] = True
@@ -442,7 +446,7 @@ def _match(length: int, batch_bytes: int, most_bytes: int):
     return run
 
 
-def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch, bitmap_bits: int = 1 << 26, hot_runs: int = 20_000, batch_bytes: int = 1 << 20, most_bytes: int = 3 << 20) -> DataFrame:
+def repeated_spans(df: DataFrame, text_col: str, length: int, scratch: Scratch, bitmap_bits: int = 1 << 26, hot_runs: int = 20_000, batch_bytes: int = 1 << 19, most_bytes: int = 3 << 19) -> DataFrame:
     """(key, spans): bytes of each distinct text (key: 16 bytes of its SHA-256) that lie in windows which
     also start elsewhere in the distinct texts.
 

@@ -42,7 +42,7 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, p
 class Weights(dict):
     """Token -> weight: its own, or that of its longest known beginning, or 0.  Starts anew when it is full."""
 
-    def __init__(self, known: dict[str, float], room: int = 200_000) -> None:
+    def __init__(self, known: dict[str, float], room: int) -> None:
         super().__init__()
         self.known, self.room = known, room
 
@@ -88,9 +88,9 @@ class Model:
     def __init__(self, weights: dict[str, float], drift: float) -> None:
         self.weights, self.drift, self.rate, self.log_k, self.coef = weights, drift, 1.0, 0.0, np.zeros(3)
 
-    def scorer(self):
+    def scorer(self, room: int = 200_000):
         """A function from a text to the weights of its tokens, each occurrence's alike."""
-        get = Weights(self.weights).__getitem__
+        get = Weights(self.weights, room).__getitem__
 
         def scores(text: str) -> np.ndarray:
             words = tokens(text)
@@ -167,7 +167,7 @@ class Folds:
         for w in self.weights:
             m = Model(w, self.drift)
             m.rate, m.log_k = self.rate, self.log_k
-            out.append((m, m.scorer()))
+            out.append((m, m.scorer(10_000)))  # one of many: little memory each
         return out
 
 
