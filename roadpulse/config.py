@@ -54,17 +54,18 @@ class CongestionConfig:
 
 @dataclass(frozen=True)
 class MatchConfig:
-    """Radius and cell size of the nearest-edge matcher, in metres and degrees."""
+    """Radius and cell size of the nearest-edge matcher, in metres and degrees (None: twice the radius)."""
 
     graph_version: str = "synthetic-v1"
     gps_accuracy_m: float = 10.0
-    cell_degrees: float = 0.005
+    cell_degrees: float | None = None
 
     def __post_init__(self) -> None:
         if not re.fullmatch(r"[A-Za-z0-9._-]+", self.graph_version):
             raise ValueError("graph_version has other characters than letters, digits, '.', '_' and '-'")
         _positive(self.gps_accuracy_m, "gps_accuracy_m")
-        _positive(self.cell_degrees, "cell_degrees")
+        if self.cell_degrees is not None:
+            _positive(self.cell_degrees, "cell_degrees")
 
 
 @dataclass(frozen=True)

@@ -30,15 +30,31 @@ def first_error(*checks: tuple[Column, Column | str]) -> Column:
     return F.coalesce(*(F.when(bad, m if isinstance(m, Column) else F.lit(m)) for bad, m in checks))
 
 
-def recorded_at(time: Column, t_timestamp: Column) -> Column:
-    """``M/d/yyyy H:mm`` at UTC+7 plus the seconds of ``MM:SS.s``, rounded to milliseconds, as an instant.
+def once(c: Column) -> Column:
+    """``c`` itself, marked as not deterministic: the optimizer then neither repeats it in expressions that use it nor
+    copies it into filters below.  For long expressions that would be evaluated many times."""
+    return F.when(F.rand() + 1 > 0, c)
+
+
+def local_minute(time: Column) -> Column:
+    """``M/d/yyyy H:mm`` as written, or null."""
+    return F.try_to_timestamp(time, F.lit("M/d/yyyy H:mm"))
 
-    Expects a session time zone of UTC.  Null if either text is malformed.
-    """
-    base = F.to_utc_timestamp(F.try_to_timestamp(time, F.lit("M/d/yyyy H:mm")), "+07:00")
+
+def second_part(t_timestamp: Column) -> Column:
+    """The seconds of ``MM:SS.s``, or null."""
     s = F.get(F.split(t_timestamp, ":"), F.lit(1))
-    ms = F.round(F.when(s.rlike(NUMBER), s.try_cast("double")) * 1000).cast("long")
-    return F.timestamp_micros(F.unix_micros(base) + ms * 1000)
+    return F.when(s.rlike(NUMBER), s.try_cast("double"))
+
+
+def instant(base: Column, seconds: Column) -> Column:
+    """A local minute at UTC+7 plus seconds, rounded to milliseconds; expects a session time zone of UTC."""
+    return F.timestamp_micros(F.unix_micros(F.to_utc_timestamp(base, "+07:00")) + F.round(seconds * 1000).cast("long") * 1000)
+
+
+def recorded_at(time: Column, t_timestamp: Column) -> Column:
+    """``M/d/yyyy H:mm`` at UTC+7 plus the seconds of ``MM:SS.s``; null if either text is malformed."""
+    return instant(local_minute(time), second_part(t_timestamp))
 
 
 def traffic_vehicle(c: Column) -> Column:

@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.functions.scalar import NUMBER, first_error, not_finite, recorded_at, trimmed
+from roadpulse.functions.scalar import first_error, instant, local_minute, not_finite, once, second_part, trimmed
 from roadpulse.schemas import NOT_NEGATIVE, OPTIONAL_NUMBERS, REQUIRED_NUMBERS
 
 
-def _time_error(time: Column, stamp: Column) -> Column:
-    parts, base = F.split(stamp, ":"), F.try_to_timestamp(time, F.lit("M/d/yyyy H:mm"))
-    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    whole = first.rlike(r"^[+-]?\d+$")
-    minute = F.when(whole, first.try_cast("int"))
-    seconds = F.when(second.rlike(NUMBER), second.try_cast("double"))
-    quoted = F.concat(F.lit('t_timestamp "'), stamp, F.lit('"'))
+def _time_error() -> Column:
+    """Of time and t_timestamp, parsed as _base, _parts, _minute and _seconds."""
+    base, minute, seconds = F.col("_base"), F.col("_minute"), F.col("_seconds")
+    quoted = F.concat(F.lit('t_timestamp "'), F.col("t_timestamp"), F.lit('"'))
     return first_error(
-        (base.isNull(), F.concat(F.lit('time "'), time, F.lit('" is invalid'))),
-        (F.size(parts) != 2, F.concat(quoted, F.lit(" must use MM:SS.s format"))),
+        (base.isNull(), F.concat(F.lit('time "'), F.col("time"), F.lit('" is invalid'))),
+        (F.size("_parts") != 2, F.concat(quoted, F.lit(" must use MM:SS.s format"))),
         (minute.isNull() | (minute < 0) | (minute >= 60), F.concat(quoted, F.lit(" contains an invalid minute"))),
         (minute != F.minute(base), F.concat(F.lit("t_timestamp minute "), minute.cast("string"), F.lit(" does not match time minute "), F.minute(base).cast("string"))),
         (seconds.isNull() | (seconds < 0) | (seconds >= 60), F.concat(quoted, F.lit(" contains invalid seconds"))),
@@ -29,13 +26,17 @@ def canonicalize(df: DataFrame) -> DataFrame:
     """All rows of raw GPS records in canonical form, with ``error``: the first rule that a record breaks, or null.
 
     Texts are trimmed, status is upper case, vehicle_type lower case, a blank side is null, and
-    recorded_at is the instant of time and t_timestamp (null if they are invalid).  A projection: it
-    neither shuffles nor runs code outside the JVM.
+    recorded_at is the instant of time and t_timestamp (null if they are invalid).  Projections in steps, so that no
+    expression is repeated: they neither shuffle nor run code outside the JVM.
     """
-    t = {c: trimmed(F.coalesce(F.col(c), F.lit(""))) for c in ("driver_id", "t_timestamp", "time", "status", "vehicle_type")}
-    status, vehicle = F.upper(t["status"]), F.lower(t["vehicle_type"])
-    checks = [(t[c] == "", f"{c} is required") for c in ("driver_id", "t_timestamp", "time")]
-    checks += [(~status.isin("IN TRIP", "ONLINE", "OFFLINE"), 'status must be "IN TRIP", "ONLINE", or "OFFLINE"'), (~vehicle.isin("car", "bike"), 'vehicle_type must be "car" or "bike"')]
+    texts = ["driver_id", "t_timestamp", "time", "status", "vehicle_type"]
+    others = [c for c in df.columns if c not in (*texts, "side", "recorded_at", "error")]
+    rows = df.select(*others, *(trimmed(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in texts), trimmed(F.col("side")).alias("side"))
+    rows = rows.withColumns({"status": F.upper("status"), "vehicle_type": F.lower("vehicle_type"), "side": F.when(F.col("side") != "", F.col("side")), "_base": local_minute(F.col("time")), "_parts": F.split("t_timestamp", ":")})
+    first = F.get("_parts", F.lit(0))
+    rows = rows.withColumns({"_minute": F.when(first.rlike(r"^[+-]?\d+$"), first.try_cast("int")), "_seconds": second_part(F.col("t_timestamp"))})
+    checks = [(F.col(c) == "", f"{c} is required") for c in ("driver_id", "t_timestamp", "time")]
+    checks += [(~F.col("status").isin("IN TRIP", "ONLINE", "OFFLINE"), 'status must be "IN TRIP", "ONLINE", or "OFFLINE"'), (~F.col("vehicle_type").isin("car", "bike"), 'vehicle_type must be "car" or "bike"')]
     for c in REQUIRED_NUMBERS:
         checks += [(F.col(c).isNull(), f"{c} is required"), (not_finite(F.col(c)), f"{c} must be a finite number")]
     checks += [(~F.col("lat").between(-90, 90), "lat must be from -90 to 90"), (~F.col("lng").between(-180, 180), "lng must be from -180 to 180")]
@@ -44,10 +45,8 @@ def canonicalize(df: DataFrame) -> DataFrame:
     checks.append((F.col("timestamp") <= 0, "timestamp must be positive"))
     for c in OPTIONAL_NUMBERS:
         checks += [(not_finite(F.col(c)), f"{c} must be a finite number"), (F.col(c) < 0, f"{c} must not be negative")]
-    error = F.coalesce(first_error(*checks), _time_error(t["time"], t["t_timestamp"]))
-    side = trimmed(F.col("side"))
-    made = {**t, "status": status, "vehicle_type": vehicle, "side": F.when(side != "", side), "recorded_at": recorded_at(t["time"], t["t_timestamp"]), "error": error}
-    return df.select(*(F.col(c) for c in df.columns if c not in made), *(v.alias(k) for k, v in made.items()))
+    error = once(F.coalesce(first_error(*checks), _time_error()))
+    return rows.select(*others, *texts, "side", instant(F.col("_base"), F.col("_seconds")).alias("recorded_at"), error.alias("error"))
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.config import CongestionConfig
-from roadpulse.functions.scalar import clamp, confidence, level, traffic_vehicle, window_start
+from roadpulse.functions.scalar import clamp, confidence, first_error, level, traffic_vehicle, window_start
 
 KEYS = ["graph_version", "traversal_key", "vehicle_type"]
 
@@ -52,3 +52,25 @@ def closed(windows: DataFrame, now: Column, config: CongestionConfig) -> DataFra
 def state_json(states: DataFrame) -> DataFrame:
     """One JSON object for each state, names in snake case."""
     return states.select(F.to_json(F.struct(*states.columns)).alias("body"))
+
+
+def request_error(df: DataFrame, keys: str = "traversal_keys", vehicle: str = "vehicle_type") -> DataFrame:
+    """Requests for states (keys, min_lng, min_lat, max_lng, max_lat, vehicle) with ``error``: the first rule broken, or null."""
+    error = first_error(
+        (F.coalesce(F.size(keys), F.lit(0)) <= 0, "traversal_keys are required"),
+        (F.exists(keys, lambda k: k < 0), "traversal_keys must be non-negative"),
+        ((F.col("min_lng") >= F.col("max_lng")) | (F.col("min_lat") >= F.col("max_lat")), "bounds are invalid"),
+        (~F.coalesce(F.col(vehicle).isin("car", "motorcycle"), F.lit(False)), "vehicle_type must be car or motorcycle"),
+    )
+    return df.withColumn("error", error)
+
+
+def demo_aggregation(observations: DataFrame, reference_mps: float) -> DataFrame:
+    """One row for observations (driver_id, speed_mps, eligible): drivers, the median speed of those that count (0 for none),
+    its ratio to the reference and the score."""
+    out = observations.agg(
+        F.count_distinct(F.when(F.col("eligible"), F.col("driver_id"))).alias("eligible_driver_count"), F.count_distinct("driver_id").alias("total_driver_count"),
+        F.coalesce(F.percentile(F.when(F.col("eligible"), F.col("speed_mps")), 0.5), F.lit(0.0)).alias("current_speed_mps"),
+    )
+    ratio = F.col("current_speed_mps") / F.lit(float(reference_mps))
+    return out.withColumns({"reference_speed_mps": F.lit(float(reference_mps)), "speed_ratio": ratio, "congestion_score": 1 - ratio, "level": level(ratio)})

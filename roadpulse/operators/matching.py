@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.config import MatchConfig
-from roadpulse.functions.scalar import not_finite
+from roadpulse.functions.scalar import first_error, not_finite, traffic_vehicle
 from roadpulse.schemas import ROAD_CLASSES
 
 
@@ -21,36 +21,77 @@ class Strategy(Protocol):
 class NearestEdge:
     """The nearest edge that the vehicle may use within the GPS accuracy, by flat distance to its segments.
 
-    Points and segments meet in grid cells: a segment is entered in the cells around it that a point in reach
-    can lie in, so the join is an equi-join on the cell and a point looks into one cell only.
+    Points and segments meet in grid cells, by default twice as wide as the reach.  A segment is entered, column by
+    column, in the cells that it crosses when widened by the reach, so the join is an equi-join on the cell, a point
+    looks into one cell only, and a segment's cells grow with its length.  The cells' table grows with the map, so it is
+    never broadcast; AQE splits cells that very many points share.
     """
 
     def __init__(self, config: MatchConfig) -> None:
         self.config = config
 
-    def match(self, points: DataFrame, edges: DataFrame) -> DataFrame:
-        cell, reach = self.config.cell_degrees, self.config.gps_accuracy_m
-        segments = edges.select("traversal_key", "road_class", "car_access", "motorcycle_access", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("coordinates") - 1), lambda i: F.struct(F.element_at("coordinates", i).alias("a"), F.element_at("coordinates", i + 1).alias("b")))).alias("seg", "s"))
+    def _entered(self, edges: DataFrame, cell: float, dy: float) -> DataFrame:
+        """Segments (a to b) with the cells (cx, cy) that they enter; ``dy``: the reach in degrees of latitude."""
+        line = F.transform(F.sequence(F.lit(1), F.size("coordinates") - 1), lambda i: F.struct(F.element_at("coordinates", i).alias("a"), F.element_at("coordinates", i + 1).alias("b")))
+        segments = edges.where(F.size("coordinates") >= 2).select("traversal_key", "road_class", "car_access", "motorcycle_access", F.explode(line).alias("s"))
         segments = segments.select("*", *(F.col(f"s.{p}")[k].alias(f"{p}{c}") for p in "ab" for k, c in ((0, "x"), (1, "y")))).drop("s")
-        # Degrees that the reach spans; a degree of longitude is shortest at the end farther from the equator.
-        dy = reach / 111_320.0
+        # A degree of longitude is shortest at the end farther from the equator.
         dx = F.lit(dy) / F.greatest(F.cos(F.radians(F.greatest(F.abs("ay"), F.abs("by")) + dy)), F.lit(0.01))
-        span = lambda low, high: F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))
-        entered = segments.withColumn("cx", F.explode(span(F.least("ax", "bx") - dx, F.greatest("ax", "bx") + dx))).withColumn("cy", F.explode(span(F.least("ay", "by") - dy, F.greatest("ay", "by") + dy)))
-        own = points.withColumns({"cx": F.floor(F.col("lng") / cell).cast("long"), "cy": F.floor(F.col("lat") / cell).cast("long")})
-        near = own.join(entered, ["cx", "cy"]).where(F.when(F.col("vehicle_type") == "car", F.col("car_access")).otherwise(F.col("motorcycle_access")))
-        kx = F.lit(111_320.0) * F.cos(F.radians("lat"))
-        px, py, qx, qy = ((F.col("lng") - F.col("ax")) * kx, (F.col("lat") - F.col("ay")) * 111_320.0, (F.col("bx") - F.col("ax")) * kx, (F.col("by") - F.col("ay")) * 111_320.0)
-        length = qx * qx + qy * qy
-        t = F.when(length > 0, F.least(F.greatest((px * qx + py * qy) / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-        d = F.sqrt(F.pow(px - t * qx, 2) + F.pow(py - t * qy, 2))
+        span = lambda low, high: F.explode(F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long")))
+        left, right, low, high = F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by")
+        column = segments.withColumn("_dx", dx).withColumn("cx", span(left - F.col("_dx"), right + F.col("_dx")))
+        # The part of the segment that a point of this column can be near to.
+        at = lambda x: F.least(F.greatest(F.col("ay") + (x - F.col("ax")) / (F.col("bx") - F.col("ax")) * (F.col("by") - F.col("ay")), low), high)
+        y0, y1 = (at(F.greatest(left, F.col("cx") * cell - F.col("_dx"))), at(F.least(right, (F.col("cx") + 1) * cell + F.col("_dx"))))
+        upright = F.abs(F.col("bx") - F.col("ax")) < 1e-12
+        bottom, top = F.when(upright, low).otherwise(F.least(y0, y1)), F.when(upright, high).otherwise(F.greatest(y0, y1))
+        return column.withColumn("cy", span(bottom - dy, top + dy)).drop("_dx")
+
+    def match(self, points: DataFrame, edges: DataFrame) -> DataFrame:
+        reach = self.config.gps_accuracy_m
+        dy = 1.0001 * reach / 111_320.0
+        cell = self.config.cell_degrees or 2 * dy
+        own = points.withColumns({"cx": F.floor(F.col("lng") / cell).cast("long"), "cy": F.floor(F.col("lat") / cell).cast("long"), "kx": F.lit(111_320.0) * F.cos(F.radians("lat"))})
+        near = own.join(self._entered(edges, cell, dy).hint("merge"), ["cx", "cy"]).where(F.when(F.col("vehicle_type") == "car", F.col("car_access")).otherwise(F.col("motorcycle_access")))
+        px, py, qx, qy = ((F.col("lng") - F.col("ax")) * F.col("kx"), (F.col("lat") - F.col("ay")) * 111_320.0, (F.col("bx") - F.col("ax")) * F.col("kx"), (F.col("by") - F.col("ay")) * 111_320.0)
+        length, along, across = qx * qx + qy * qy, px * qx + py * qy, px * qy - py * qx
+        # Near an end, or beside the segment: short enough to be compiled as the join's condition.
+        r2 = F.lit(float(reach * reach))
+        near = near.where((px * px + py * py <= r2) | ((px - qx) * (px - qx) + (py - qy) * (py - qy) <= r2) | ((length > 0) & (along >= 0) & (along <= length) & (across * across <= r2 * length)))
+        t = F.when(length > 0, F.least(F.greatest(along / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        near = near.withColumn("t", t)
+        d = F.sqrt(F.pow(px - F.col("t") * qx, F.lit(2)) + F.pow(py - F.col("t") * qy, F.lit(2)))
         # A known bearing tells which way of a two-way road: an edge that points away ranks behind at equal distance.
         turn = F.when(F.col("bearing") >= 0, (F.cos(F.radians("bearing") - F.atan2(qx, qy)) < 0).cast("int")).otherwise(0)
-        found = near.withColumn("d", d).where(F.col("d") <= reach).withColumn("rank", F.struct(F.round("d", 6), turn, F.col("traversal_key")))
+        found = near.withColumn("d", d).withColumn("rank", F.struct(F.round("d", 6), turn, F.col("traversal_key")))
         best = found.groupBy("id").agg(F.min_by(F.struct("traversal_key", "road_class", "d"), "rank").alias("m"))
         return best.select("id", F.col("m.traversal_key").alias("traversal_key"), F.col("m.d").alias("snap_distance_m"), F.col("m.road_class").isin(ROAD_CLASSES).alias("traffic_eligible"))
 
 
+class VehicleRouter:
+    """Points of cars go to one strategy, those of bikes to another; points of other vehicles match nothing."""
+
+    def __init__(self, car: Strategy, motorcycle: Strategy) -> None:
+        self.car, self.motorcycle = car, motorcycle
+
+    def match(self, points: DataFrame, edges: DataFrame) -> DataFrame:
+        return self.car.match(points.where("vehicle_type = 'car'"), edges).unionByName(self.motorcycle.match(points.where("vehicle_type = 'bike'"), edges))
+
+
+def route(traces: DataFrame, points: str = "points") -> DataFrame:
+    """Traces with ``profile`` (car or motorcycle) and ``route_error``: why no matcher takes the trace, or null."""
+    kinds = F.transform(points, lambda p: p["vehicle_type"])
+    first = F.get(kinds, F.lit(0))
+    at = F.array_position(F.transform(kinds, lambda k: ~k.eqNullSafe(first)), F.lit(True)) - 1
+    quoted = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
+    error = first_error(
+        (F.coalesce(F.size(points), F.lit(0)) <= 0, "trace points are required"),
+        (at >= 0, F.concat(F.lit("trace point "), at.cast("string"), F.lit(" changes vehicle type from "), quoted(first), F.lit(" to "), quoted(F.get(kinds, at.cast("int"))))),
+        (~F.coalesce(first.isin("car", "bike"), F.lit(False)), F.concat(F.lit("unsupported vehicle type "), quoted(first))),
+    )
+    return traces.withColumn("route_error", error).withColumn("profile", F.when(F.col("route_error").isNull(), traffic_vehicle(first)))
+
+
 def adapt(traces: DataFrame, graph_version: str) -> DataFrame:
     """Traces (trace_id, driver_id, points, matched_points) with ``error``: why a matcher's answer is refused, or null.
 

@@ -22,9 +22,11 @@ def shard(df: DataFrame, index: int, count: int, order: str, driver: str = "driv
     return df.join(driver_index(df, order, driver), driver).where(F.pmod(F.col("driver_idx"), F.lit(count)) == index)
 
 
-def interleave(df: DataFrame, order: str, run_id: str, cycles: int = 1, pause_ms: int = 60_000, max_drivers: int | None = None, max_events: int | None = None, shift_ms: int = 0, driver: str = "driver_id", time_ms: str = "recorded_at_ms") -> DataFrame:
+def interleave(df: DataFrame, order: str, run_id: str, cycles: int = 1, pause_ms: int = 60_000, max_drivers: int | None = None, max_events: int | None = None, shift_ms: int = 0, shard_index: int = 0, shard_count: int = 1, prefix: str = "vegeta", driver: str = "driver_id", time_ms: str = "recorded_at_ms") -> DataFrame:
     """Events of all drivers in turn (cycle, sequence, driver number), times shifted by a cycle's span and pause.
 
+    The span is that of all drivers taken, before the shard's are chosen, so all shards keep step.
+
     ``cycle``, ``sequence`` and ``driver_idx`` are the order; sort by them where an ordered file is written.
     """
     numbered = df.withColumn("sequence", F.row_number().over(W.partitionBy(driver).orderBy(order)) - 1)
@@ -35,8 +37,12 @@ def interleave(df: DataFrame, order: str, run_id: str, cycles: int = 1, pause_ms
         numbered = numbered.where(F.col("sequence") < max_events)
     taken = numbered.join(drivers, driver)
     span = taken.agg((F.max(time_ms) - F.min(time_ms) + pause_ms).alias("_span"))
+    if not 0 <= shard_index < shard_count:
+        raise ValueError("0 <= shard_index < shard_count")
+    if shard_count > 1:
+        taken = taken.where(F.pmod(F.col("driver_idx"), F.lit(shard_count)) == shard_index)
     rows = taken.join(F.broadcast(span)).withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))))
-    event = F.concat_ws("-", F.lit("vegeta"), F.lit(run_id), F.col("cycle").cast("string"), F.col(driver), F.col("sequence").cast("string"))
+    event = F.concat_ws("-", F.lit(prefix), F.lit(run_id), F.col("cycle").cast("string"), F.col(driver), F.col("sequence").cast("string"))
     return rows.withColumn("event_id", event).withColumn(time_ms, F.col(time_ms) + F.lit(shift_ms) + F.col("cycle") * F.col("_span")).drop("_span")
 
 
@@ -60,10 +66,10 @@ def _stamp(ts: Column) -> Column:
     return F.concat(F.when(F.length(text) < 19, whole).otherwise(F.when(F.unix_micros(ts) % 1_000_000 == 0, whole).otherwise(text)), F.lit("Z"))
 
 
-def gpx(traces: DataFrame, driver: str = "driver_id", points: str = "points") -> DataFrame:
+def gpx(traces: DataFrame, driver: str = "driver_id", points: str = "points", creator: str = "roadpulse") -> DataFrame:
     """Traces with ``gpx``, a GPX 1.1 document of their points (lat, lng, recorded_at); null for fewer than two points or a missing time."""
     one = lambda p: F.concat(F.lit('<trkpt lat="'), p["lat"].cast("string"), F.lit('" lon="'), p["lng"].cast("string"), F.lit('"><time>'), _stamp(p["recorded_at"]), F.lit("</time></trkpt>"))
-    head = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1" creator="traffic-system"><trk><name>'
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1" creator="%s"><trk><name>' % creator
     text = F.concat(F.lit(head), _escaped(F.col(driver)), F.lit("</name><trkseg>"), F.array_join(F.transform(points, one), ""), F.lit("</trkseg></trk></gpx>"))
     ok = (F.size(points) >= 2) & ~F.exists(points, lambda p: p["recorded_at"].isNull())
     return traces.withColumn("gpx", F.when(ok, text))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,28 +20,34 @@ def buffered_traces(df: DataFrame, config: TraceConfig, driver: str = "driver_id
     the buffer holds enough points, or spans enough time with ``min_points``, it is emitted and keeps its
     last ``overlap`` points.  What is left at the end is not emitted.
 
-    The rule depends on where the last trace ended, so a driver's points are folded in order: one
-    shuffle by driver and an ``aggregate`` over the sorted array, in the JVM.  The array holds one
-    driver's points; split the input by day where drivers report without end.
+    The rule depends on where the last trace ended, so a driver's points pass in order: one shuffle by driver, a sort
+    that spills, and a pass that holds one driver's buffer (``max_points`` at most, as a buffer of so many is emitted).
     """
-    point = F.struct(F.col(order).alias("seq"), F.unix_micros(time).alias("t"))
-    grouped = df.groupBy(driver).agg(F.sort_array(F.collect_list(point)).alias("all"))
-    span = int(config.max_seconds * 1_000_000)
-    kind = "struct<seq:bigint,t:bigint>"
-    start = F.struct(F.expr(f"cast(array() as array<{kind}>)").alias("buf"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("done"))
-
-    def step(state, p):
-        buf = state["buf"]
-        late = (F.size(buf) > 0) & (p["t"] <= F.element_at(buf, -1)["t"])
-        new = F.concat(buf, F.array(p))
-        emit = (F.size(new) >= config.min_points) & ((F.size(new) >= config.max_points) | (p["t"] - new[0]["t"] >= span))
-        keep = F.least(F.lit(config.overlap), F.size(new))
-        rest = F.slice(new, F.size(new) - keep + 1, keep) if config.overlap else F.expr(f"cast(array() as array<{kind}>)")
-        return F.when(late, state).when(emit, F.struct(rest.alias("buf"), F.concat(state["done"], F.array(new)).alias("done"))).otherwise(F.struct(new.alias("buf"), state["done"].alias("done")))
-
-    done = grouped.select(driver, F.aggregate("all", start, step)["done"].alias("done"))
-    out = done.select(driver, F.posexplode("done").alias("trace_no", "points"))
-    return _described(out, driver)
+    span, most, least, overlap = int(config.max_seconds * 1_000_000), config.max_points, config.min_points, config.overlap
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, buffer, n, kind = object(), [], 0, None
+        for b in batches:
+            kind, out = b.schema.field(0).type, []
+            for who, seq, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if who != now:
+                    now, buffer, n = who, [], 0
+                if buffer and t <= buffer[-1][1]:
+                    continue
+                buffer.append((seq, t))
+                if len(buffer) >= least and (len(buffer) >= most or t - buffer[0][1] >= span):
+                    out.append((who, n, buffer))
+                    buffer, n = buffer[len(buffer) - min(overlap, len(buffer)) :], n + 1
+            who, number, points = zip(*out, strict=True) if out else ((), (), ())
+            flat = [p for x in points for p in x]
+            ends = pa.array([0, *accumulate(map(len, points))], pa.int32())
+            pairs = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.int64()), pa.array([t for _, t in flat], pa.int64())], ["seq", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(who, kind), pa.array(number, pa.int32()), pa.ListArray.from_arrays(ends, pairs)], [driver, "trace_no", "points"])
+
+    rows = df.select(F.col(driver), F.col(order).cast("long").alias("seq"), F.unix_micros(time).alias("t")).where("t is not null")
+    rows = rows.repartition(driver).sortWithinPartitions(driver, "seq", "t")
+    shape = f"`{driver}` {df.schema[driver].dataType.simpleString()}, trace_no int, points array<struct<seq:bigint,t:bigint>>"
+    return _described(rows.mapInArrow(run, shape), driver)
 
 
 def sliding_traces(df: DataFrame, size: int = 5, step: int = 3, most: int | None = 12, per_driver: int | None = 60, driver: str = "driver_id", time: str = "recorded_at", order: str = "arrival_seq") -> DataFrame:

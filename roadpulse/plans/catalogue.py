@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from roadpulse.config import Bounds, CongestionConfig, MatchConfig, TraceConfig
 from roadpulse.functions import scalar
-from roadpulse.operators import canonical, congestion, edges, matching, replay, traces
+from roadpulse.operators import canonical, congestion, edges, matching, pipeline, replay, traces
 from roadpulse.operators import observations as obs
 from roadpulse.plans import views
-from roadpulse.sources.gps import csv_candidates
+from roadpulse.sources.gps import csv_candidates, ingest, parse_bodies, replay_points
 
 DAY = 86_400
 WINDOW = CongestionConfig(DAY, 2, 2)
@@ -395,7 +395,8 @@ def nearest_edge_match(spark, sf_dir):
     return found.select("id", "traversal_key", F.round("snap_distance_m", 3).alias("snap_distance_m"), "traffic_eligible")
 
 
-@query(None)
+@query(ADAPT_SQL + """, x AS (SELECT trace_id, driver_id, string_agg(concat('<trkpt lat="', CAST(lat AS VARCHAR), '" lon="', CAST(lng AS VARCHAR), '"><time>', strftime(recorded_at, '%Y-%m-%dT%H:%M:%S'), rtrim(rtrim(strftime(recorded_at, '.%f'), '0'), '.'), 'Z</time></trkpt>'), '' ORDER BY i) AS body FROM q GROUP BY ALL)
+SELECT trace_id, concat('<?xml version="1.0" encoding="UTF-8"?>', chr(10), '<gpx xmlns="http://www.topografix.com/GPX/1/1" version="1.1" creator="roadpulse"><trk><name>', driver_id, '</name><trkseg>', body, '</trkseg></trk></gpx>') AS gpx FROM x""")
 def gpx_encode(spark, sf_dir):
     return replay.gpx(_matched_traces(spark, sf_dir)).select("trace_id", "gpx")
 
@@ -420,6 +421,113 @@ def trace_gap_split(spark, sf_dir):
     return traces.gap_split(views.observations(spark, sf_dir), 12 * 3600.0, 1e9).select("arrival_seq", "run")
 
 
+_SECONDS = "CAST(string_split(t_timestamp, ':')[2] AS DOUBLE)"
+REPLAY_SQL = RAW + f""", seen AS (SELECT *, trim(driver_id) AS who, min(event_id) OVER (PARTITION BY trim(driver_id)) AS f, row_number() OVER (PARTITION BY trim(driver_id) ORDER BY event_id) AS k FROM raw),
+ranked AS (SELECT *, dense_rank() OVER (ORDER BY who = '', f) AS d FROM seen)
+SELECT event_id, who AS driver_id, CASE WHEN who = '' THEN 'driver_id is empty' WHEN {_TIME_OK} IS NULL THEN concat('time "', time, '" is invalid')
+  WHEN len(string_split(t_timestamp, ':')) <> 2 THEN concat('t_timestamp "', t_timestamp, '" must use MM:SS.s format') WHEN {_SECONDS} >= 60 THEN concat('t_timestamp "', t_timestamp, '" contains invalid seconds')
+  WHEN isnan(speed) THEN 'speed: "NaN" must be finite' WHEN lng < -180 THEN 'lng must be from -180 to 180' WHEN lat > 90 THEN 'lat must be from -90 to 90' WHEN bearing >= 360 THEN 'bearing must be -1 or from 0 up to 360' END AS error,
+  epoch_us({_TIME_OK} - INTERVAL 7 HOUR) // 1000 + CAST(round({_SECONDS} * 1000) AS BIGINT) AS recorded_at_ms, CASE WHEN isnan(speed) THEN NULL ELSE coalesce(speed, -1) END AS speed_mps
+FROM ranked WHERE who = '' OR (d <= 100 AND k <= 50)"""
+
+
+@query(REPLAY_SQL)
+def replay_csv_points(spark, sf_dir):
+    texts = views.raw(spark, sf_dir)
+    texts = texts.select("event_id", *(F.col(c).cast("string").alias(c) for c in texts.columns if c != "event_id"))
+    out = replay_points(texts, "event_id", 100, 50)
+    return out.select("event_id", "driver_id", "error", "recorded_at_ms", F.when(~F.isnan("speed_mps"), F.col("speed_mps")).alias("speed_mps"))
+
+
+_BODY = """CASE WHEN event_id % 107 = 0 THEN 'request body is empty' WHEN event_id % 109 = 0 THEN 'request body must be one JSON object' WHEN event_id % 113 = 0 THEN 'unknown field extra' ELSE error END"""
+
+
+@query(CHECKED + f", b AS (SELECT event_id, {_BODY} AS error FROM checked) SELECT event_id, error FROM b WHERE error IS NOT NULL")
+def json_ingest_errors(spark, sf_dir):
+    return ingest(_bodies(spark, sf_dir))[1].select("event_id", "error")
+
+
+@query(CHECKED + f", b AS (SELECT *, {_BODY} AS e FROM checked) SELECT event_id, trim(driver_id) AS driver_id, lower(trim(vehicle_type)) AS vehicle_type, speed, distance, {PARSED} AS recorded_at_us FROM b WHERE e IS NULL")
+def json_ingest(spark, sf_dir):
+    return ingest(_bodies(spark, sf_dir))[0].select("event_id", "driver_id", "vehicle_type", "speed", "distance", micros("recorded_at"))
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed JSON bodies of the raw records, some blank, with text after the object or with another field."""
+    rows, n = views.raw(spark, sf_dir), F.col("event_id")
+    names = [c for c in rows.columns if c != "event_id"]
+    body = F.to_json(F.struct(*names))
+    body = F.when(n % 107 == 0, " ").when(n % 109 == 0, F.concat(body, F.lit(" {}"))).when(n % 113 == 0, F.concat(F.lit('{"extra":1,'), F.substr(body, F.lit(2)))).otherwise(body)
+    return parse_bodies(rows.select("event_id", body.alias("body"))).drop("body")
+
+
+_ROUTED = """, r AS (SELECT trace_id, CASE WHEN max(k) % 29 = 0 THEN 'spaceship' WHEN max(k) % 31 = 0 THEN 'mixed' ELSE max(vehicle_type) END AS v, max(vehicle_type) AS w FROM q GROUP BY trace_id)
+SELECT trace_id, CASE v WHEN 'car' THEN 'car' WHEN 'bike' THEN 'motorcycle' END AS profile, CASE v WHEN 'spaceship' THEN 'unsupported vehicle type "spaceship"' WHEN 'mixed' THEN concat('trace point 3 changes vehicle type from "', w, '" to "', CASE w WHEN 'car' THEN 'bike' ELSE 'car' END, '"') END AS route_error FROM r"""
+
+
+@query(ADAPT_SQL + _ROUTED)
+def vehicle_route(spark, sf_dir):
+    rows = views.observations(spark, sf_dir)
+    cut = traces.sliding_traces(rows, most=None, per_driver=None).select(F.concat_ws("-", "driver_id", "trace_no").alias("trace_id"), F.col("first_seq").alias("k"), F.posexplode("points.seq").alias("i", "arrival_seq"))
+    points = cut.join(rows.select("arrival_seq", "vehicle_type"), "arrival_seq")
+    other = F.when(F.col("vehicle_type") == "car", "bike").otherwise("car")
+    kind = F.when(F.col("k") % 29 == 0, "spaceship").when((F.col("k") % 31 == 0) & (F.col("i") == 3), other).otherwise(F.col("vehicle_type"))
+    listed = points.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("i", kind.alias("vehicle_type")))).alias("points"))
+    return matching.route(listed).select("trace_id", "profile", "route_error")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'traversal_keys are required' WHEN event_id % 11 = 0 THEN 'traversal_keys must be non-negative' WHEN event_id % 13 = 0 THEN 'bounds are invalid'
+  WHEN event_type NOT IN ('click', 'view') THEN 'vehicle_type must be car or motorcycle' END AS error FROM events""")
+def congestion_request_checks(spark, sf_dir):
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    keys = F.when(n % 7 == 0, F.array().cast("array<long>")).otherwise(F.array(n, F.when(n % 11 == 0, -1).otherwise(n + 1)))
+    kind = F.when(F.col("event_type") == "click", "car").when(F.col("event_type") == "view", "motorcycle").otherwise(F.col("event_type"))
+    requests = e.select("event_id", keys.alias("traversal_keys"), kind.alias("vehicle_type"), F.lit(106.0).alias("min_lng"), F.lit(10.0).alias("min_lat"), F.when(n % 13 == 0, 106.0).otherwise(107.0).alias("max_lng"), F.lit(11.0).alias("max_lat"))
+    return congestion.request_error(requests).select("event_id", "error")
+
+
+#: Driver, speed and whether the observation counts.
+DEMO = [("1", 0.0, True), ("1", 2.2753384, False), ("1", 0.06876571, False)]
+
+
+@query("SELECT CAST(1 AS BIGINT) AS eligible_driver_count, CAST(1 AS BIGINT) AS total_driver_count, CAST(0 AS DOUBLE) AS current_speed_mps, CAST(10 AS DOUBLE) AS reference_speed_mps, CAST(0 AS DOUBLE) AS speed_ratio, CAST(1 AS DOUBLE) AS congestion_score, 'CONGESTED' AS level")
+def demo_flow(spark, sf_dir):
+    return congestion.demo_aggregation(spark.createDataFrame(DEMO, "driver_id string, speed_mps double, eligible boolean"), 10.0)
+
+
+@query(STATES_SQL + " SELECT CAST(traversal_key AS VARCHAR) AS traversal_key, vehicle_type, level, CAST(sample_count AS VARCHAR) AS sample_count, strftime(make_timestamp(window_start_us), '%Y-%m-%dT%H:%M:%S.000Z') AS window_start, 'synthetic-v1' AS graph_version FROM states")
+def state_bodies(spark, sf_dir):
+    bodies = congestion.state_json(_states(spark, sf_dir))
+    return bodies.select(*(F.get_json_object("body", f"$.{c}").alias(c) for c in ("traversal_key", "vehicle_type", "level", "sample_count", "window_start", "graph_version")))
+
+
+#: Raw records of one vehicle for each driver; what the matcher answers is taken from the observations' view.
+_RECURSIVE = views.RAW_DUCK.replace("raw AS (", "raw0 AS (", 1) + """, raw AS (SELECT * REPLACE (CASE WHEN CAST(regexp_extract(driver_id, '[0-9]+') AS BIGINT) % 2 = 0 THEN 'Bike ' ELSE 'car' END AS vehicle_type) FROM raw0 WHERE driver_id <> '  ')"""
+PIPELINE_SQL = "WITH RECURSIVE " + views.OBS_SQL.replace("obs AS (", "seen AS (") + "," + _RECURSIVE + ", checked AS (SELECT *, CASE " + " ".join(f"WHEN {c} THEN {m}" for c, m in _CHECKS) + f""" END AS error FROM raw),
+valid AS (SELECT event_id, trim(driver_id) AS driver_id, upper(trim(status)) AS status, lower(trim(vehicle_type)) AS vehicle_type, speed, {PARSED} AS us FROM checked WHERE error IS NULL),
+later AS (SELECT *, max(us) OVER (PARTITION BY driver_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM valid),
+p AS (SELECT *, row_number() OVER (PARTITION BY driver_id ORDER BY event_id) AS rn FROM later WHERE b IS NULL OR us > b),
+t AS (
+  SELECT driver_id, 0 AS trace_no, CAST(1 AS BIGINT) AS s, (SELECT min(q.rn) FROM p q, p f WHERE q.driver_id = u.driver_id AND f.driver_id = u.driver_id AND f.rn = 1 AND q.rn >= 2 AND (q.rn >= 5 OR q.us - f.us >= 43200000000)) AS e FROM (SELECT DISTINCT driver_id FROM p) u
+  UNION ALL
+  SELECT t.driver_id, trace_no + 1, greatest(t.e - 1, t.s), (SELECT min(q.rn) FROM p q, p f WHERE q.driver_id = t.driver_id AND f.driver_id = t.driver_id AND f.rn = greatest(t.e - 1, t.s) AND q.rn > t.e AND (q.rn - greatest(t.e - 1, t.s) + 1 >= 5 OR q.us - f.us >= 43200000000))
+  FROM t WHERE t.e IS NOT NULL
+), obs AS (
+  SELECT 'synthetic-v1' AS graph_version, p.driver_id, trace_no * 100 + p.rn - t.s AS arrival_seq, make_timestamp(p.us) AS recorded_at, p.speed, p.status, p.vehicle_type, p.rn - t.s AS point_index,
+    seen.matched, seen.traffic_eligible, seen.traversal_key, seen.max_speed_mps FROM t JOIN p ON p.driver_id = t.driver_id AND p.rn BETWEEN t.s AND t.e JOIN seen ON seen.arrival_seq = p.event_id
+)""" + STATES_SQL.removeprefix(OBS)
+
+
+@query(PIPELINE_SQL + " SELECT * FROM states")
+def pipeline_states(spark, sf_dir):
+    raw = views.raw(spark, sf_dir).where("driver_id <> '  '")
+    number = F.regexp_extract("driver_id", "[0-9]+", 0).cast("long")
+    raw = raw.withColumn("vehicle_type", F.when(number % 2 == 0, "Bike ").otherwise("car"))
+    answers = views.observations(spark, sf_dir).where("matched").select(F.col("arrival_seq").alias("event_id"), "traffic_eligible", "traversal_key", "max_speed_mps")
+    made = pipeline.process_events(raw, lambda points: points.select("event_id").join(answers, "event_id"), TRACE, WINDOW, "synthetic-v1", "event_id")
+    return made.states.select(*(micros(c) if c == "window_start" else c for c in made.states.columns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in FOUND.items()}
 

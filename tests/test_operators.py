@@ -3,14 +3,18 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from roadpulse.config import Bounds, CongestionConfig, MatchConfig, Settings, TraceConfig, distance_km, seconds
 from roadpulse.functions import scalar
 from roadpulse.operators import canonical, congestion, edges, matching, observations, replay, traces
+from roadpulse.operators.matching import NearestEdge, VehicleRouter, route
+from roadpulse.operators.pipeline import process_events
+from roadpulse.operators.replay import interleave
 from roadpulse.schemas import GPS_PAYLOAD
 from roadpulse.sources.edges import parse_features
-from roadpulse.sources.gps import csv_candidates, parse_bodies, read_csv
+from roadpulse.sources.gps import csv_candidates, ingest, parse_bodies, read_bodies, read_csv, stream_bodies
 
 UTC = dt.timezone.utc
 BASE = {
@@ -202,3 +206,84 @@ def test_targets(spark):
     out = replay.targets(replay.interleave(rows, "seq", "r"), "http://x", ["event_id", "recorded_at_ms"]).orderBy("cycle", "sequence", "driver_idx").collect()
     bodies = [json.loads(base64.b64decode(json.loads(r.target)["body"])) for r in out]
     assert [b["event_id"] for b in bodies] == ["vegeta-r-0-a-0", "vegeta-r-0-b-0", "vegeta-r-0-a-1"]
+
+
+def test_bodies_with_text_after_the_object(spark):
+    good = '{"driver_id":"d","lat":1.5}'
+    bodies = [good, good + " {}", good + "," + good, good + '],[{"lat":2}', good + '} {"lat":2}', "[" + good + "]", "", None, '{"driver_id":', '{"extra":1}', " " + good + "\n"]
+    got = [r.decode_error for r in parse_bodies(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")).orderBy("i").collect()]
+    one, empty = "request body must be one JSON object", "request body is empty"
+    assert got == [None, one, one, one, one, one, empty, empty, one, "unknown field extra", None]
+
+
+def test_bodies_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"driver_id":"d"}\n\n{"x":1}\n')
+    good, bad = ingest(stream_bodies(spark, str(tmp_path / "in")))
+    q = bad.select("error").writeStream.format("memory").queryName("rejected").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    assert sorted(r.error for r in spark.table("rejected").collect()) == ["request body is empty", "t_timestamp is required", "unknown field x"]
+    assert good.isStreaming and read_bodies(spark, str(tmp_path / "in")).count() == 3
+
+
+def test_all_shards_keep_the_span_of_all_drivers(spark):
+    rows = [(d, k, 1000 * k + (50_000 if d == "b" else 0)) for d in "abc" for k in range(4)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq int, driver_id string, k int, recorded_at_ms long")
+    whole = {(r.event_id, r.recorded_at_ms) for r in interleave(df, "seq", "r", cycles=2).collect()}
+    parts = [{(r.event_id, r.recorded_at_ms) for r in interleave(df, "seq", "r", cycles=2, shard_index=i, shard_count=2).collect()} for i in range(2)]
+    assert parts[0] | parts[1] == whole and not parts[0] & parts[1] and all(parts)
+
+
+def test_router_sends_each_vehicle_to_its_matcher(spark):
+    class Fixed:
+        def __init__(self, key):
+            self.key = key
+
+        def match(self, points, edges):
+            return points.select("id", F.lit(self.key).alias("traversal_key"))
+
+    points = spark.createDataFrame([(1, "car"), (2, "bike"), (3, "truck")], "id int, vehicle_type string")
+    assert {r.id: r.traversal_key for r in VehicleRouter(Fixed(10), Fixed(20)).match(points, points).collect()} == {1: 10, 2: 20}
+    traces = spark.createDataFrame([(1, []), (2, None), (3, [("bike",), (None,)])], "i int, points array<struct<vehicle_type:string>>")
+    assert [r.route_error for r in route(traces).orderBy("i").collect()] == ["trace points are required"] * 2 + ['trace point 1 changes vehicle type from "bike" to ""']
+
+
+def test_nearest_edge_equals_brute_force(spark):
+    import math
+    import random
+
+    r = random.Random(3)
+    lines = [[[106 + r.uniform(0, 0.02), 10 + r.uniform(0, 0.02)] for _ in range(r.randint(2, 3))] for _ in range(60)] + [[[106.01, 10.0], [106.01, 10.02]], [[106.0, 10.01], [106.02, 10.01]], [[106.005, 10.005]] * 2]
+    edges = spark.createDataFrame([(k, "primary", k % 3 > 0, True, c) for k, c in enumerate(lines)], "traversal_key long, road_class string, car_access boolean, motorcycle_access boolean, coordinates array<array<double>>")
+    points = [(i, 10 + r.uniform(-0.001, 0.021), 106 + r.uniform(-0.001, 0.021), -1.0, r.choice(["car", "bike"])) for i in range(600)]
+
+    def distance(lat, lng, a, b):
+        kx = 111_320.0 * math.cos(math.radians(lat))
+        px, py, qx, qy = (lng - a[0]) * kx, (lat - a[1]) * 111_320.0, (b[0] - a[0]) * kx, (b[1] - a[1]) * 111_320.0
+        n = qx * qx + qy * qy
+        t = min(max((px * qx + py * qy) / n, 0), 1) if n else 0
+        return math.hypot(px - t * qx, py - t * qy)
+
+    want = {}
+    for i, lat, lng, _, kind in points:
+        found = [(round(min(distance(lat, lng, a, b) for a, b in zip(c, c[1:])), 6), k) for k, c in enumerate(lines) if kind == "bike" or k % 3]
+        if min(found)[0] <= 25:
+            want[i] = min(found)[1]
+    df = spark.createDataFrame(points, "id int, lat double, lng double, bearing double, vehicle_type string")
+    for cell in (None, 0.005):
+        assert {x.id: x.traversal_key for x in NearestEdge(MatchConfig(gps_accuracy_m=25.0, cell_degrees=cell)).match(df, edges).collect()} == want
+    assert len(want) > 50
+
+
+def test_pipeline_keeps_what_it_refuses(spark):
+    base = {"t_timestamp": "00:01.0", "lat": 10.0, "lng": 106.0, "bearing": -1.0, "status": "in trip", "time": "7/24/2026 5:00", "timestamp": 1.0, "altitude": 0.0}
+    zero = dict.fromkeys(["bearing_acc", "horizontal_acc", "speed", "speed_acc", "time_delta", "vertical_acc"], 0.0)
+    rows = [Row(seq=10 * d + k, driver_id=f"d{d}", vehicle_type="car" if d != 2 or k < 3 else "bike", side=None, delta_time=None, distance=None, **{**base, **zero, "t_timestamp": f"00:{k:02}.0", "speed": 5.0 + d}) for d in range(3) for k in range(5)]
+    rows.append(Row(**{**rows[0].asDict(), "seq": 99, "lat": 95.0}))
+    raw = spark.createDataFrame(rows, "seq long, driver_id string, vehicle_type string, side string, delta_time double, distance double, t_timestamp string, lat double, lng double, bearing double, status string, time string, timestamp double, altitude double, bearing_acc double, horizontal_acc double, speed double, speed_acc double, time_delta double, vertical_acc double")
+    match = lambda p: p.select("seq", F.lit(True).alias("traffic_eligible"), F.lit(7).cast("long").alias("traversal_key"), F.lit(20.0).alias("max_speed_mps"))
+    made = process_events(raw, match, TraceConfig(5, 30.0, 2, 2), CongestionConfig(10, 1, 1), "g", "seq")
+    assert [r.error for r in made.rejected.collect()] == ["lat must be from -90 to 90"]
+    assert [(r.driver_id, r.route_error) for r in made.refused.collect()] == [("d2", 'trace point 3 changes vehicle type from "car" to "bike"')]
+    state = made.states.collect()
+    assert [(s.traversal_key, s.vehicle_type, s.sample_count, s.distinct_driver_count, s.current_speed_mps, s.level) for s in state] == [(7, "car", 10, 2, 5.5, "CONGESTED")]
