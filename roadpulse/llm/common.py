@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -102,6 +103,15 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             yield b.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return the worker's freed memory to the system at the end of a task with large buffers; else idle workers, which
+    Spark keeps for later tasks, hold the most that they ever needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def bitmap_words(hashes: DataFrame, column: str, bits: int) -> DataFrame:
     """(word, bit): a bitmap with a place for each value modulo ``bits``, as at most bits / 64 words."""
     slot = F.pmod(F.col(column), F.lit(bits))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import sub_batches
+from roadpulse.llm.common import give_back, sub_batches
 from roadpulse.llm.tokens import encoder, pieces, windows, worker_cache
 
 
@@ -111,7 +111,7 @@ class Packer:
             self.bin(self.capacity if self.tokens >= self.capacity else 1 << (self.tokens.bit_length() - 1))
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, pool: int = 256, cache_size: int = 120_000, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, pool: int = 256, cache_size: int = 80_000, with_ids: bool = False) -> DataFrame:
     """Pack the token ids of all documents (each followed by ``end_id``) into sequences.
 
     One row for each piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset (and
@@ -153,6 +153,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         packer.finish()
         if packer.out:
             yield rows()
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

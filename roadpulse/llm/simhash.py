@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch, components, mark, sub_batches, with_least
+from roadpulse.llm.common import Scratch, components, give_back, mark, sub_batches, with_least
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bit k of a byte, in byte k of a word: sums of up to 255 such words count eight bits at once.
@@ -404,6 +404,8 @@ def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 16):
                 held = rows.slice(cut).to_batches()
         if held:
             yield from pairs(pa.Table.from_batches(held))
+        held.clear()
+        give_back()
 
     return run
 
@@ -435,6 +437,7 @@ def _verified(scratch: Scratch, df: DataFrame, nodes: DataFrame, pairs: DataFram
             ends = np.cumsum([0, *map(len, found)])
             flat = pa.array(np.concatenate(found).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(list(map(_digest, found)), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["digest", "found"])
+        give_back()
 
     sets = mark(scratch, df, F.col("id"), asked.select("first")).where("_hit").select("text").mapInArrow(run, "digest binary, found array<long>")
     sets = scratch.put(sets.join(asked.select("uid", "digest"), "digest").select("uid", "found").dropDuplicates(["uid"]), "sets")
@@ -462,6 +465,7 @@ def near_copies(scratch: Scratch, df: DataFrame, shingle: int, jaccard: float, w
             ends = np.cumsum([0, *map(len, keys)])
             cols = [b.column(0), pa.array(list(map(_digest, found)), pa.binary()), pa.array(list(map(len, found)), pa.int32()), pa.array(fps, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))]
             yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "n", "fp", "keys"])
+        give_back()
 
     prints = scratch.put(df.select("id", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, digest binary, n int, fp binary, keys array<long>"), "prints")
     nodes = prints.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch, bitmap_words, mark, sub_batches
+from roadpulse.llm.common import Scratch, bitmap_words, give_back, mark, sub_batches
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TURN = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -261,6 +261,7 @@ def _scan(texts: Iterator[pa.RecordBatch], length: int):
                 if len(seen) < 1 << 18:
                     seen.add(key)
                 yield key, data, *anchors(np.frombuffer(data, np.uint8), length)
+    give_back()
 
 
 def _first_scan(length: int):
@@ -442,6 +443,7 @@ def _match(length: int, batch_bytes: int, most_bytes: int):
                     last = (h, key, start)
         close()
         yield from flush()
+        give_back()
 
     return run
 
@@ -543,5 +545,6 @@ def _cut(with_text: bool, decode: bool, least_words: int):
                 names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols)]
                 tail = b.schema.names[4:]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), *b.columns[4:]], [*names, *tail])
+        give_back()
 
     return run

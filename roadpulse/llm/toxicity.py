@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch, Shared, sub_batches
+from roadpulse.llm.common import Scratch, Shared, give_back, sub_batches
 
 TOKEN = re.compile(r"\w+")
 EULER = 0.5772156649015329
@@ -187,18 +187,24 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     def count(batches):
         seen: defaultdict = defaultdict(Counter)
+
+        def rows():
+            for (part, toxic), own in seen.items():
+                words = list(own)
+                n, none = pa.array([own[x] for x in words], pa.int64()), pa.array([0] * len(words), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([part] * len(words), pa.int32()), n if toxic else none, none if toxic else n], ["x", "part", "toxic", "clean"])
+            seen.clear()
+
         for whole in batches:
-            for b in sub_batches([whole], "text"):
+            for b in sub_batches([whole], "text", 2 << 20):
                 for text, y, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     found = set(tokens(text))
                     # The empty token stands for all documents.
                     seen[part, y > 0].update({""}.union(map(name, found), *map(stems, found)))
-        for (part, toxic), own in seen.items():
-            words = list(own)
-            for at in range(0, len(words), 50_000):
-                w = words[at : at + 50_000]
-                n, none = pa.array([own[x] for x in w], pa.int64()), pa.array([0] * len(w), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([part] * len(w), pa.int32()), n if toxic else none, none if toxic else n], ["x", "part", "toxic", "clean"])
+                    if sum(map(len, seen.values())) > 100_000:  # memory: counts are summed later anyway
+                        yield from rows()
+        yield from rows()
+        give_back()
 
     each = [F.sum(F.when(F.col("part") == p, F.col(c)).otherwise(0)).alias(f"{c}{p}") for p in range(parts) for c in ("toxic", "clean")]
     counts = sample.mapInArrow(count, "x string, part int, toxic long, clean long").groupBy("x").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *each)
@@ -253,6 +259,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             for b in sub_batches([whole], "text"):
                 rows = [models[p][0].features(models[p][1](t))[:2] for t, p in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.float64()), pa.array([x for _, x in rows], pa.float64()), b.column(1)], ["best", "whole", "y"])
+        give_back()
 
     rows = sample.mapInArrow(features, "best double, whole double, y int").orderBy("y", "best", "whole").toArrow()
     label = rows["y"].to_numpy() > 0
@@ -292,6 +299,7 @@ def toxicity(
                 if with_passages:
                     out.append(pa.array([[{"first": x, "last": y, "strength": e} for e, x, y in k] for _, k in found], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("strength", pa.float64())]))))
                 yield pa.RecordBatch.from_arrays(out, ["id", "held_out", "score", "passages"][: len(out)])
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     fold_of = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -311,5 +319,6 @@ def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             for b in sub_batches([whole], text_col, 4 << 20):
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 yield b.filter(pa.array([known.probability(scores(t or ""))[0] < threshold for t in texts]))
+        give_back()
 
     return df.mapInArrow(run, df.schema)
