@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch, components
+from roadpulse.llm.common import Scratch, Shared, components, with_least
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -95,7 +95,7 @@ def near_duplicates(
     rows for n_links.  Other columns are not carried; no rows give no rows.
     """
     spark = df.sparkSession
-    sc, scratch = spark.sparkContext, Scratch(spark, "neardup")
+    scratch = Scratch(spark, "neardup")
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     ok = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("x", lambda c: c != 0)
     base = base.withColumn("x", F.when(F.col("id").isNotNull() & F.coalesce(ok, F.lit(False)), F.transform("x", lambda c: c + F.lit(0.0))))
@@ -113,7 +113,7 @@ def near_duplicates(
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.sqrt((x * x).sum(1, keepdims=True))
         index = Index(x, max(1, min(max_lists, len(x), -(-m // rows_per_list))), parts, seed)
-        found = _probe(spark, sc.broadcast(index), own, cosine, probes, chunk, scratch)
+        found = _probe(spark, Shared(spark, index), own, cosine, probes, chunk, scratch)
         links.append(found.where("b is null").select("a", "n"))
         edges.append(found.where("b is not null").select("a", "b"))
     empty = spark.createDataFrame([], "a long, n long, b long")
@@ -124,8 +124,7 @@ def near_duplicates(
     roots = components(scratch, forest)
     state = classes.select("cls", "key", "first", "weight").join(count.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n")), "cls", "left").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     state = scratch.put(state.select("key", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "cls").alias("root"), "first"), "state")
-    least = state.groupBy("root").agg(F.min("first").alias("component_id"))
-    state = state.join(least, "root").select("key", "n_links", "component_id")
+    state = with_least(scratch, state, "root", "first", "component_id").select("key", "n_links", "component_id")
     kind = df.schema[id_col].dataType.simpleString()
     out = rows.select("id", "key").join(state, "key", "left")
     out = out.select(F.col("id").cast(kind).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").cast("long").alias("component_id"))

@@ -261,10 +261,11 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.float64()), pa.array([x for _, x in rows], pa.float64()), b.column(1)], ["best", "whole", "y"])
         give_back()
 
-    rows = sample.mapInArrow(features, "best double, whole double, y int").orderBy("y", "best", "whole").toArrow()
-    label = rows["y"].to_numpy() > 0
+    rows = sample.mapInArrow(features, "best double, whole double, y int").toArrow()
+    best, whole, label = rows["best"].to_numpy(), rows["whole"].to_numpy(), rows["y"].to_numpy() > 0
     if 0 < label.sum() < len(label):
-        model.calibrate(np.stack([rows["best"].to_numpy(), rows["whole"].to_numpy()], 1), label.astype(np.float64))
+        order = np.lexsort((whole, best, label))  # sums don't depend on the order in which tasks ended
+        model.calibrate(np.stack([best, whole], 1)[order], label[order].astype(np.float64))
     else:
         model.coef = np.array([-3.0 if not label.any() else 3.0, 0.0, 0.0])
     return model
