@@ -82,7 +82,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is its end token alone; null and repeated ids and repeated rows are packed like others; texts
     of any length are cut into as many pieces as they need.  No rows give no rows; other columns are not carried.
     """
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_size=80_000)
 
 
 STAGES = [
