@@ -359,7 +359,8 @@ FEW = 16
 
 def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 16):
     """Over rows sorted by (key, part): pairs (a, b) of a group whose sizes and fingerprints allow it and whose roots
-    differ; of each group's first row with all others if ``star``, else of all its rows."""
+    differ; of each group's first row with all others if ``star``, else of all its rows.  In the latter case rows have
+    ``band``, their group's, and ``marks``, 31 bits of the key of each band: a pair counts in the first band that both agree on only."""
 
     def pairs(rows: pa.Table):
         key, part = rows["key"].to_numpy(), rows["part"].to_numpy()
@@ -371,10 +372,15 @@ def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 16):
             return
         uid, root, n = (rows[c].to_numpy() for c in ("uid", "root", "n"))
         fps = np.frombuffer(b"".join(rows["fp"].to_pylist()), np.uint8).reshape(len(key), -1)
+        if not star:
+            band, marks = rows["band"].to_numpy(), rows["marks"].combine_chunks().flatten().to_numpy().reshape(len(key), -1)
 
         def allowed(a, b):
             ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= jaccard * np.maximum(n[a], n[b]) - 1e-9)
             a, b = a[ok], b[ok]
+            if not star:
+                ok = (marks[a] == marks[b]).argmax(1) == band[a]
+                a, b = a[ok], b[ok]
             few = np.minimum(n[a], n[b]) < FEW
             ok = np.zeros(len(a), bool)
             for some, reach in ((few, radius + radius // 4), (~few, radius)):
@@ -386,10 +392,17 @@ def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 16):
             first = np.repeat(start, size)[many]
             yield allowed(first[many > first], many[many > first])
             return
-        a, s = many, 0
+        a, s, held, n_held = many, 0, [], 0
         while len(a := a[after[a] > s]):
             s += 1
-            yield allowed(a, a + s)
+            some = a[root[a] != root[a + s]]
+            held.append((some, some + s))
+            n_held += len(some)
+            if n_held >= flush:
+                yield allowed(*map(np.concatenate, zip(*held, strict=True)))
+                held, n_held = [], 0
+        if n_held:
+            yield allowed(*map(np.concatenate, zip(*held, strict=True)))
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -410,9 +423,17 @@ def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 16):
     return run
 
 
+def _open(scratch: Scratch, nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """The keys (key, m) of ``shared`` whose nodes links have not joined to one."""
+    rows = mark(scratch, nodes.select("root", F.explode("keys").alias("key")), F.col("key"), shared.select("key")).where("_hit")
+    keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("least"), F.max("root").alias("most"))
+    return scratch.put(keys.where("least <> most").select("key", "m"), "open")
+
+
 def _met(scratch: Scratch, nodes: DataFrame, shared: DataFrame, jaccard: float, radius: int, star: bool, part_rows: int = 8192) -> DataFrame:
     """Distinct candidate pairs (a, b) of ``nodes`` (uid, root, n, fp, keys); ``shared``: (key, m), keys of several nodes."""
-    rows = nodes.select("uid", "root", "n", "fp", F.explode("keys").alias("key"))
+    marks = [] if star else [F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("marks")]
+    rows = nodes.select("uid", "root", "n", "fp", *marks, F.posexplode("keys").alias("band", "key"))
     rows = mark(scratch, rows, F.col("key"), shared.select("key")).where("_hit").drop("_hit")  # others meet nobody
     large = shared.where(F.col("m") > 2 * part_rows).select("key", F.ceil(F.col("m") / part_rows).cast("int").alias("parts"))
     if large.isEmpty():
@@ -422,7 +443,7 @@ def _met(scratch: Scratch, nodes: DataFrame, shared: DataFrame, jaccard: float,
         rows = rows.join(large, "key", "left").withColumn("p", F.pmod(F.xxhash64("uid"), F.coalesce("parts", F.lit(1))).cast("int"))
         others = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda o: F.least(o, F.col("p")) * 65536 + F.greatest(o, F.col("p")))
         rows = rows.withColumn("part", F.explode(others)).drop("p", "parts")
-    rows = rows.select("key", "part", "uid", "root", "n", "fp").repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "key", "part")
+    rows = rows.select("key", "part", "uid", "root", "n", "fp", *([] if star else ["band", "marks"])).repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "key", "part")
     return rows.sortWithinPartitions("key", "part", "uid").mapInArrow(_meeting(jaccard, radius, star), "a long, b long").distinct()
 
 
@@ -474,6 +495,7 @@ def near_copies(scratch: Scratch, df: DataFrame, shingle: int, jaccard: float, w
     shared = scratch.put(keys.where("m > 1"), "shared")
     named, edges = nodes.withColumn("root", F.col("uid")), None
     for star in (True, False):
+        shared = shared if star else _open(scratch, named, shared)
         pairs = scratch.put(_met(scratch, named, shared, jaccard, radius, star), "pairs")
         links = scratch.put(_verified(scratch, df, nodes, pairs, shingle, jaccard, seed), "links")
         edges = links if edges is None else edges.unionByName(links)
