@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch, Shared, sub_batches
+from roadpulse.llm.common import Scratch, Shared, small, sub_batches
 from roadpulse.llm.tokens import worker_store
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -193,7 +193,7 @@ def train(df: DataFrame, rows, text_col: str, lang_col: str, id_col: str, per_la
         raise ValueError(f"over {MOST_LANGS} languages")
     table_size = min(table_size, MOST_CELLS // len(langs))
     scale = 1 << 24
-    limit = df.sparkSession.createDataFrame([(x, int(scale * min(1.0, per_lang / n[x])), k) for k, x in enumerate(langs)], "l string, most long, k int")
+    limit = small(df.sparkSession, [(x, int(scale * min(1.0, per_lang / n[x])), k) for k, x in enumerate(langs)], "l string, most long, k int")
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(scale))
     sample = base.join(F.broadcast(limit), F.col(lang_col).cast("string") == F.col("l")).where(draw < F.col("most")).select(F.col(text_col).alias("text"), "k")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from itertools import product
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch, mark
+from roadpulse.llm.common import Scratch, mark, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
@@ -109,7 +109,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         raise ValueError("too many sources")
     goal = targets({r.source: r["size"] for r in found}, weights, share, most)
     kind, skind = df.schema[id_col].dataType.simpleString(), df.schema[source_col].dataType.simpleString()
-    table = spark.createDataFrame([Row(s=r.source, source_size=r["size"], target=float(goal[r.source]), m=r.n) for r in found], f"s {skind}, source_size long, target double, m long")
+    table = small(spark, [(r.source, r["size"], float(goal[r.source]), r.n) for r in found], f"s {skind}, source_size long, target double, m long")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.join(F.broadcast(table), rows.source.eqNullSafe(table.s)).drop("s").withColumn("ratio", F.least(ratio, F.lit(float(most))))
     base = F.floor(F.col("ratio") + EPS)

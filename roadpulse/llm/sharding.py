@@ -8,7 +8,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import Scratch
+from roadpulse.llm.common import Scratch, small
 
 #: Hex digits of a group's key in the first table of cells, and by how many a cell is refined.
 FIRST, STEP, DIGITS = 4, 2, 32
@@ -133,7 +133,7 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for s, p, first, k in runs:  # one row for each task and shard in it
         offsets.append((s, p, seen.get(s, 0) - first))
         seen[s] = seen.get(s, 0) + k
-    shift = spark.createDataFrame(offsets, "shard int, part long, shift long")
+    shift = small(spark, offsets, "shard int, part long, shift long")
     out = placed.withColumn("part", part).join(F.broadcast(shift), ["shard", "part"])
     scratch.drop(rows, groups)
     return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

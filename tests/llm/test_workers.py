@@ -5,6 +5,8 @@ import subprocess
 import sys
 
 from roadpulse.llm import common
+from roadpulse.llm.mixing import mix
+from roadpulse.llm.sharding import shard_documents
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -40,3 +42,13 @@ def test_scratch_is_deleted(spark):
     assert scratch.put(spark.range(3), "rows").count() == 3 and os.path.isdir(scratch.root)
     common.close_scratch(since)
     assert not os.path.exists(scratch.root) and len(common.OPEN) == since
+
+
+def test_small_tables_start_no_python_workers(spark):
+    """Lists given to createDataFrame are read by workers of another kind than those of mapInArrow, which stay idle."""
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('some words ', int(id % 7 + 1)) AS text", "IF(id % 3 = 0, NULL, concat('s', id % 3)) AS source")
+    for found in (mix(docs), shard_documents(docs)):
+        assert found.count() == 200 and "ExistingRDD" not in found._jdf.queryExecution().toString()
+    rows = [(1, "a", 0.5), (None, None, None)]
+    assert [tuple(r) for r in common.small(spark, rows, "a long, b string, c double").collect()] == rows
+    assert common.small(spark, [], "a long").count() == 0
