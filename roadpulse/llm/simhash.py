@@ -355,126 +355,205 @@ def within(fps: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.nda
 
 #: Sets of fewer shingles have fingerprints that differ more (halves of a few votes); they get a quarter more.
 FEW = 16
+#: Groups of up to so many rows are compared without planes of their own.
+SMALL = 48
 
 
-def _meeting(jaccard: float, radius: int, star: bool, flush: int = 1 << 16):
-    """Over rows sorted by (key, part): pairs (a, b) of a group whose sizes and fingerprints allow it and whose roots
-    differ; of each group's first row with all others if ``star``, else of all its rows.  In the latter case rows have
-    ``band``, their group's, and ``marks``, 31 bits of the key of each band: a pair counts in the first band that both agree on only."""
-
-    def pairs(rows: pa.Table):
-        key, part = rows["key"].to_numpy(), rows["part"].to_numpy()
-        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-        size = np.diff(np.r_[start, len(key)])
-        after = np.repeat(start + size, size) - np.arange(len(key)) - 1  # rows of the group that follow
-        many = np.flatnonzero(np.repeat(size > 1, size))
-        if not len(many):
-            return
-        uid, root, n = (rows[c].to_numpy() for c in ("uid", "root", "n"))
-        fps = np.frombuffer(b"".join(rows["fp"].to_pylist()), np.uint8).reshape(len(key), -1)
-        if not star:
-            band, marks = rows["band"].to_numpy(), rows["marks"].combine_chunks().flatten().to_numpy().reshape(len(key), -1)
-
-        def allowed(a, b):
-            ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= jaccard * np.maximum(n[a], n[b]) - 1e-9)
-            a, b = a[ok], b[ok]
-            if not star:
-                ok = (marks[a] == marks[b]).argmax(1) == band[a]
-                a, b = a[ok], b[ok]
-            few = np.minimum(n[a], n[b]) < FEW
-            ok = np.zeros(len(a), bool)
-            for some, reach in ((few, radius + radius // 4), (~few, radius)):
-                ok[some] = within(fps, a[some], b[some], reach)
-            a, b = uid[a[ok]], uid[b[ok]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        if star:
-            first = np.repeat(start, size)[many]
-            yield allowed(first[many > first], many[many > first])
-            return
-        a, s, held, n_held = many, 0, [], 0
-        while len(a := a[after[a] > s]):
-            s += 1
-            some = a[root[a] != root[a + s]]
-            held.append((some, some + s))
-            n_held += len(some)
-            if n_held >= flush:
-                yield allowed(*map(np.concatenate, zip(*held, strict=True)))
-                held, n_held = [], 0
-        if n_held:
-            yield allowed(*map(np.concatenate, zip(*held, strict=True)))
+def _sized(x: np.ndarray, y: np.ndarray, jaccard: float) -> np.ndarray:
+    """Whether sets of so many shingles can be as similar as ``jaccard``."""
+    return np.minimum(x, y) >= jaccard * np.maximum(x, y) - 1e-9
+
+
+def join_group(fps: np.ndarray, n: np.ndarray, jaccard: float, radius: int, same=None) -> np.ndarray:
+    """For each row of one group, sets of ``n`` shingles with those fingerprints, the row that stands for it: rows that
+    candidates join get the same one; with ``same`` (row, rows), which tells whose sets are alike, rows that links join.
+
+    64 rows at a time meet all that follow, and rows that are joined already are not compared again.
+    """
+    m, bits = len(n), fps.shape[1] * 8
+    label, v, own, few = np.arange(m), planes(fps), np.unpackbits(fps, axis=1).astype(bool), n < FEW
+    for p in range(0, m, 64):
+        q = min(p + 64, m)
+        far = (label[p:][None, :] != label[p:q][:, None]) & _sized(n[p:][None, :], n[p:q][:, None], jaccard)
+        far &= np.arange(m - p)[None, :] > np.arange(q - p)[:, None]
+        w, asked, hit = v[:, p // 64 :], np.where(own[p:q].T[:, :, None], ALL, np.uint64(0)), np.zeros(far.shape, bool)
+        any_few = few[p:][None, :] | few[p:q][:, None]
+        for some, reach in ((far & any_few, radius + radius // 4), (far & ~any_few, radius)):
+            if some.any():
+                pad = np.zeros((q - p, w.shape[1] * 64), bool)
+                pad[:, : m - p] = some
+                live = np.packbits(pad, axis=1, bitorder="little").view(np.uint64)
+                hit |= lanes(close(lambda j, cols, w=w, asked=asked: w[j, cols][None, :] ^ asked[j], bits, w.shape[1], reach, live), m - p)
+        if same is None:
+            a, b = np.nonzero(hit)
+            label = merge(label, p + a, p + b)
+            continue
+        for a in np.flatnonzero(hit.any(1)):
+            b = p + np.flatnonzero(hit[a])
+            b = b[label[b] != label[p + a]]
+            if len(b := b[same(p + a, b)]):
+                label = merge(label, np.full(len(b), p + a), b)
+    return label
+
+
+def _whole_groups(batches, by: tuple[str, str], column: str, flush: int):
+    """Tables of about ``flush`` bytes in ``column`` with whole groups of rows that agree on the two columns ``by``."""
+    held: list[pa.RecordBatch] = []
+    for b in sub_batches(batches, column, flush):
+        held.append(b)
+        if sum(x.column(column).nbytes for x in held) >= flush:
+            rows = pa.Table.from_batches(held)
+            same = np.logical_and(*((rows[c].to_numpy() == rows[c][-1].as_py()) for c in by))
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may go on
+            if cut:
+                yield rows.slice(0, cut)
+            held = rows.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _starts(rows: pa.Table, by: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """The first row and the size of each group."""
+    cols = [rows[c].to_numpy() for c in by]
+    start = np.flatnonzero(np.r_[True, np.logical_or(*(c[1:] != c[:-1] for c in cols))])
+    return start, np.diff(np.r_[start, rows.num_rows])
+
+
+def _meeting(jaccard: float, radius: int, flush: int = 4 << 20):
+    """Over rows sorted by (key, part): pairs (a, b) that join all rows of a group that candidates join, fewer than it
+    has rows.  Candidates are pairs whose sizes and fingerprints allow the similarity."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= flush:
-                rows = pa.Table.from_batches(held)
-                same = (rows["key"].to_numpy() == rows["key"][-1].as_py()) & (rows["part"].to_numpy() == rows["part"][-1].as_py())
-                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may go on
-                if cut:
-                    yield from pairs(rows.slice(0, cut))
-                held = rows.slice(cut).to_batches()
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
-        held.clear()
+        for rows in _whole_groups(batches, ("key", "part"), "fp", flush):
+            start, size = _starts(rows, ("key", "part"))
+            after = np.repeat(start + size, size) - np.arange(rows.num_rows) - 1  # rows of the group that follow
+            uid, n = rows["uid"].to_numpy(), rows["n"].to_numpy()
+            fps = np.frombuffer(b"".join(rows["fp"].to_pylist()), np.uint8).reshape(len(uid), -1)
+            label, a, s = np.arange(len(uid)), np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size)), 0
+            while len(a := a[after[a] > s]):
+                s += 1
+                x = a[(label[a] != label[a + s]) & _sized(n[a], n[a + s], jaccard)]
+                few, ok = np.minimum(n[x], n[x + s]) < FEW, np.zeros(len(x), bool)
+                for some, reach in ((few, radius + radius // 4), (~few, radius)):
+                    ok[some] = within(fps, x[some], x[some] + s, reach)
+                if ok.any():
+                    label = merge(label, x[ok], x[ok] + s)
+            for at, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                label[at : at + m] = at + join_group(fps[at : at + m], n[at : at + m], jaccard, radius)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(uid[moved]), pa.array(uid[label[moved]])], ["a", "b"])
         give_back()
 
     return run
 
 
-def _open(scratch: Scratch, nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """The keys (key, m) of ``shared`` whose nodes links have not joined to one."""
-    rows = mark(scratch, nodes.select("root", F.explode("keys").alias("key")), F.col("key"), shared.select("key")).where("_hit")
-    keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("least"), F.max("root").alias("most"))
-    return scratch.put(keys.where("least <> most").select("key", "m"), "open")
+def _dealt(rows: DataFrame, parts: str) -> DataFrame:
+    """``rows`` with the column ``part``: every pair of a group's ``parts`` meets (null: one part only)."""
+    p, count = F.pmod(F.xxhash64("uid"), F.coalesce(parts, F.lit(1))).cast("int"), F.coalesce(parts, F.lit(1))
+    others = F.transform(F.sequence(F.lit(0), count - 1), lambda o: F.least(o, F.col("_p")) * 65536 + F.greatest(o, F.col("_p")))
+    others = F.filter(others, lambda x: (count == 1) | (F.floor(x / 65536) != F.pmod(x, F.lit(65536))))
+    return rows.withColumn("_p", p).withColumn("part", F.explode(others)).drop("_p", parts)
 
 
-def _met(scratch: Scratch, nodes: DataFrame, shared: DataFrame, jaccard: float, radius: int, star: bool, part_rows: int = 8192) -> DataFrame:
-    """Distinct candidate pairs (a, b) of ``nodes`` (uid, root, n, fp, keys); ``shared``: (key, m), keys of several nodes."""
-    marks = [] if star else [F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("marks")]
-    rows = nodes.select("uid", "root", "n", "fp", *marks, F.posexplode("keys").alias("band", "key"))
+def _met(scratch: Scratch, nodes: DataFrame, shared: DataFrame, jaccard: float, radius: int, part_rows: int = 8192) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (uid, n, fp, keys) that join what candidates join; ``shared``: (key, m), keys of several nodes."""
+    rows = nodes.select("uid", "n", "fp", F.explode("keys").alias("key"))
     rows = mark(scratch, rows, F.col("key"), shared.select("key")).where("_hit").drop("_hit")  # others meet nobody
     large = shared.where(F.col("m") > 2 * part_rows).select("key", F.ceil(F.col("m") / part_rows).cast("int").alias("parts"))
-    if large.isEmpty():
-        rows = rows.withColumn("part", F.lit(0))
-    else:
-        # As in ``groups``: a large group is dealt out in parts, and every pair of parts meets in a task of its own.
-        rows = rows.join(large, "key", "left").withColumn("p", F.pmod(F.xxhash64("uid"), F.coalesce("parts", F.lit(1))).cast("int"))
-        others = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda o: F.least(o, F.col("p")) * 65536 + F.greatest(o, F.col("p")))
-        rows = rows.withColumn("part", F.explode(others)).drop("p", "parts")
-    rows = rows.select("key", "part", "uid", "root", "n", "fp", *([] if star else ["band", "marks"])).repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "key", "part")
-    return rows.sortWithinPartitions("key", "part", "uid").mapInArrow(_meeting(jaccard, radius, star), "a long, b long").distinct()
+    # As in ``groups``: a large group is dealt out in parts, and every pair of parts meets in a task of its own.
+    rows = rows.withColumn("part", F.lit(0)) if large.isEmpty() else _dealt(rows.join(large, "key", "left"), "parts")
+    rows = rows.select("key", "part", "uid", "n", "fp").repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "key", "part")
+    return rows.sortWithinPartitions("key", "part", "uid").mapInArrow(_meeting(jaccard, radius), "a long, b long").distinct()
 
 
-def _verified(scratch: Scratch, df: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, jaccard: float, seed: int) -> DataFrame:
-    """The ``pairs`` whose sets of shingles, taken anew from the texts of ``df`` (id, text), are as similar as ``jaccard``."""
-    asked = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    asked = scratch.put(nodes.join(asked, "uid").select("uid", "digest", "first"), "asked")
+def _linking(jaccard: float, radius: int, flush: int = 8 << 20):
+    """Over rows (family, part, uid, fp, found) sorted by the first three: links (a, b) that join all rows of a family
+    that links join, by the exact similarity of the sets ``found``."""
+
+    def run(batches):
+        for rows in _whole_groups(batches, ("family", "part"), "found", flush):
+            new = np.r_[True, np.logical_or.reduce([(x := rows[c].to_numpy())[1:] != x[:-1] for c in ("family", "part", "uid")])]
+            rows = rows.filter(pa.array(new))  # a set may come from several texts
+            start, size = _starts(rows, ("family", "part"))
+            uid, sets = rows["uid"].to_numpy(), rows["found"].to_pylist()
+            n = np.fromiter((len(x) // 8 for x in sets), np.int64, len(sets))
+            begin = np.cumsum(n) - n
+            fps = np.frombuffer(b"".join(rows["fp"].to_pylist()), np.uint8).reshape(len(uid), -1)
+            flat = np.frombuffer(b"".join(sets), np.uint64)
+            del sets, rows
+            names, flat = np.unique(flat, return_inverse=True)
+            flat, mine = flat.astype(np.int32), np.zeros(len(names), bool)
+            del names
+
+            def same(a, b, n=n, begin=begin, flat=flat, mine=mine):
+                if not len(b):
+                    return np.zeros(0, bool)
+                own, ends = flat[begin[a] : begin[a] + n[a]], np.cumsum(n[b])
+                mine[own] = True
+                both = np.add.reduceat(mine[flat[np.arange(ends[-1]) + np.repeat(begin[b] - ends + n[b], n[b])]], ends - n[b], dtype=np.int64)
+                mine[own] = False
+                return both >= jaccard * (n[a] + n[b] - both) - 1e-9
+
+            label = np.arange(len(uid))
+            for at, m in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                if m > SMALL:
+                    label[at : at + m] = at + join_group(fps[at : at + m], n[at : at + m], jaccard, radius, lambda a, b, at=at: same(at + a, at + b))
+                    continue
+                for a in range(at, at + m - 1):
+                    b = np.arange(a + 1, at + m)
+                    b = b[(label[b] != label[a]) & _sized(n[b], n[a], jaccard)]
+                    if len(b := b[same(a, b)]):
+                        label[at : at + m] = at + merge(label[at : at + m] - at, np.full(len(b), a - at), b - at)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(uid[moved]), pa.array(uid[label[moved]])], ["a", "b"])
+        give_back()
+
+    return run
+
+
+def _linked(scratch: Scratch, df: DataFrame, nodes: DataFrame, met: DataFrame, shingle: int, jaccard: float, radius: int, seed: int, part_shingles: int) -> DataFrame:
+    """Links (a, b) that join all ``nodes`` that sets of shingles as similar as ``jaccard`` join.
+
+    What candidates join is a family, and links lie in families.  The sets of a family's nodes, taken anew from the texts
+    of ``df`` (id, text), meet in one task, or in every pair of parts of some ``part_shingles``, and are compared
+    there, so no pair is a row.
+    """
+    families = components(scratch, met)
+    asked = scratch.put(nodes.join(families, nodes.uid == families.node).select("uid", "digest", "first", "n", "fp", F.col("root").alias("family")), "asked")
+    large = asked.groupBy("family").agg(F.sum("n").alias("n")).where(F.col("n") > part_shingles // 8)
+    large = scratch.put(large.select("family", F.greatest(F.lit(4), F.ceil(F.col("n") / part_shingles)).cast("int").alias("parts")), "large")
 
     def run(batches):
+        seen: set[bytes] = set()
         for b in sub_batches(batches, "text", 1 << 20):
             found = [shingle_set(t or "", shingle, seed) for t in b.column(0).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)])
-            flat = pa.array(np.concatenate(found).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(_digest, found)), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["digest", "found"])
+            out = {}
+            for x in found:
+                if (d := _digest(x)) not in seen:
+                    out[d] = x.tobytes()
+            if len(seen) < 1 << 18:
+                seen.update(out)
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["digest", "found"])
         give_back()
 
-    sets = mark(scratch, df, F.col("id"), asked.select("first")).where("_hit").select("text").mapInArrow(run, "digest binary, found array<long>")
-    sets = scratch.put(sets.join(asked.select("uid", "digest"), "digest").select("uid", "found").dropDuplicates(["uid"]), "sets")
-    one, two = sets.select(F.col("uid").alias("a"), F.col("found").alias("x")), sets.select(F.col("uid").alias("b"), F.col("found").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").where(both >= F.lit(jaccard) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+    sets = mark(scratch, df, F.col("id"), asked.select("first")).where("_hit").select("text").mapInArrow(run, "digest binary, found binary")
+    to = asked.select("digest", "uid", "fp", "family")
+    to = to.withColumn("part", F.lit(0)) if large.isEmpty() else _dealt(to.join(large, "family", "left"), "parts")
+    rows = sets.join(to, "digest").select("family", "part", "uid", "fp", "found")
+    rows = rows.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "family", "part").sortWithinPartitions("family", "part", "uid")
+    links = scratch.put(rows.mapInArrow(_linking(jaccard, radius), "a long, b long"), "links")
+    scratch.drop(asked, large)
+    return links
 
 
-def near_copies(scratch: Scratch, df: DataFrame, shingle: int, jaccard: float, words: int, radius: int, recall: float, seed: int) -> tuple[DataFrame, DataFrame]:
+def near_copies(scratch: Scratch, df: DataFrame, shingle: int, jaccard: float, words: int, radius: int, recall: float, seed: int, part_shingles: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """Of ``df`` (id, text): prints (id, digest) of every row, and named (digest, first, root) of every distinct set
     of shingles; sets that links of Jaccard similarity ``jaccard`` or more join have the same root.
 
     Sets that agree on a band of min-wise hashes (probability ``recall`` at a similarity of ``jaccard``, more above it)
     meet, and their SimHash fingerprints, of 64 * ``words`` bits over the distinct shingles, are compared
-    bit-sliced.  Those at most ``radius`` apart are candidates; each candidate's sets are compared exactly.  Candidates are first the pairs with the first row of a group, then all
-    pairs that those have not joined, so large groups of copies need few comparisons.
+    bit-sliced.  Those at most ``radius`` apart are candidates; what candidates join is a family, and in it sets are compared exactly (``_linked``).
+    Tasks write no pairs but what joins a group, fewer rows than the group has.  What is not needed any more is deleted.
     """
     bands = Bands(bands_for(jaccard, recall), seed)
 
@@ -488,20 +567,19 @@ def near_copies(scratch: Scratch, df: DataFrame, shingle: int, jaccard: float, w
             yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "n", "fp", "keys"])
         give_back()
 
-    prints = scratch.put(df.select("id", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, digest binary, n int, fp binary, keys array<long>"), "prints")
-    nodes = prints.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    whole = scratch.put(df.select("id", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, digest binary, n int, fp binary, keys array<long>"), "prints")
+    nodes = whole.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = scratch.put(nodes.withColumn("uid", F.monotonically_increasing_id()), "nodes")
+    prints = scratch.put(whole.select("id", "digest"), "digests")
+    scratch.drop(whole)
     keys = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m"))
     shared = scratch.put(keys.where("m > 1"), "shared")
-    named, edges = nodes.withColumn("root", F.col("uid")), None
-    for star in (True, False):
-        shared = shared if star else _open(scratch, named, shared)
-        pairs = scratch.put(_met(scratch, named, shared, jaccard, radius, star), "pairs")
-        links = scratch.put(_verified(scratch, df, nodes, pairs, shingle, jaccard, seed), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        roots = components(scratch, edges)
-        named = scratch.put(nodes.join(roots, nodes.uid == roots.node, "left").select(*nodes.columns, F.coalesce("root", "uid").alias("root")), "named")
-    return prints.select("id", "digest"), named.select("digest", "first", "root")
+    met = scratch.put(_met(scratch, nodes, shared, jaccard, radius), "met")
+    links = _linked(scratch, df, nodes, met, shingle, jaccard, radius, seed, part_shingles)
+    roots = components(scratch, links)
+    named = scratch.put(nodes.join(roots, nodes.uid == roots.node, "left").select("digest", "first", F.coalesce("root", "uid").alias("root")), "named")
+    scratch.drop(nodes, shared, met, links)
+    return prints, named
 
 
 def _with_digest(df: DataFrame, text_col: str, shingle: int, seed: int) -> DataFrame:
@@ -527,10 +605,11 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     asked = df if null_ids else df.where(F.col(id_col).isNotNull())
     prints, named = near_copies(scratch, asked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, jaccard, words, radius, recall, seed)
     chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "digest")).alias("w"))
-    named = named.join(chosen, "root").select("digest", F.col("w.first").alias("first"), F.col("w.digest").alias("best"))
-    found = prints.groupBy("id", "digest").agg(F.count("*").alias("_n")).join(named, "digest")
+    best = named.join(chosen, "root").select("digest", F.col("w.first").alias("first"), F.col("w.digest").alias("best"))
+    found = prints.groupBy("id", "digest").agg(F.count("*").alias("_n")).join(best, "digest")
     found = found.select(F.col("id").alias("_id"), F.col("digest").alias("_d"), (F.col("id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("best"))).alias("_stays"), "_n")
     others = scratch.put(found.where("not _stays or _n > 1").select("_id", "_d", "_stays"), "others")
+    scratch.drop(prints, named)
     rows = mark(scratch, asked, F.col(id_col), others.select("_id"))
     stay = rows.where(~F.col("_hit")).select(*df.columns)
     if not null_ids:

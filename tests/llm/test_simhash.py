@@ -1,11 +1,13 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
 from corpus_pipeline import NEAR
+from roadpulse.llm import common, simhash
 from roadpulse.llm.simhash import fingerprint, link_groups, one_of_each, pigeonhole, simhash_groups
 from test_components import roots
 
@@ -135,3 +137,60 @@ def test_one_of_each_of_rows_without_an_id(spark):
     got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **NEAR)
     kept = [(x.doc_id, (x.text or "")[:20]) for x in got.collect()]
     assert sorted(kept, key=str) == sorted([(None, a[:20]), (9, b[:20]), (9, c[:20]), (None, "")], key=str)
+
+
+def family(r, count, words, changed):
+    """Texts that differ from one base each in ``changed`` places of their own."""
+    base = [f"w{r.getrandbits(40)}" for _ in range(words)]
+    for _ in range(count):
+        own = list(base)
+        for p in r.sample(range(words), changed):
+            own[p] = f"o{r.getrandbits(40)}"
+        yield " ".join(own)
+
+
+def sets_of(texts):
+    return [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+
+
+@pytest.mark.parametrize("part_shingles", [1 << 20, 4000])
+def test_one_of_each_of_a_large_family(spark, monkeypatch, part_shingles):
+    r = random.Random(9)
+    texts = [*family(r, 160, 150, 2), *family(r, 60, 150, 3), *family(r, 30, 150, 4), *(t for p in near_pairs(r, 30, 108) for t in p)]
+    sets = sets_of(texts)
+    links = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (both := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)]
+    root, written, put = roots(links), {}, common.Scratch.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "put", counted)
+    got = simhash.near_copies(common.Scratch(spark, "family"), spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3), seed=42, **{k: v for k, v in NEAR.items() if k != "null_ids"}, **({} if part_shingles == 1 << 20 else {"part_shingles": part_shingles}))
+    found = {}
+    for x in got[1].collect():
+        found.setdefault(x.root, set()).add(x.first)
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(root.get(i, i), set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+    assert len(links) > 500 and len(want) > 100  # both linked and unlinked rows are many
+    # No pair is a row: a group of n rows gives fewer than n, in 27 bands.
+    assert written.get("pairs", 0) <= 4 * len(texts) and written["links"] <= 20 * len(texts)
+
+
+def test_a_family_of_rows_that_are_no_copies_writes_no_pairs(spark, monkeypatch):
+    r = random.Random(10)
+    texts = list(family(r, 300, 150, 3))
+    written, put = Counter(), common.Scratch.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        written[name] = max(written[name], out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "put", counted)
+    kept = one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), **NEAR).count()
+    assert kept > 200
+    assert max(written.values()) <= 27 * len(texts) / 2, written  # of 44,850 pairs
