@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from roadpulse.llm import suffix_dedup
 from roadpulse.llm.suffix_dedup import anchors, common_prefixes, remove_repeats, repeated, repeated_in_shares, rolling, suffix_array, words
 
 
@@ -64,6 +65,22 @@ def test_repeated(seed):
     assert [x.tolist() for x in repeated_in_shares(texts, owned, n, 5 * n)] == want
 
 
+@pytest.mark.parametrize("kind", ["passage", "pairs", "period"])
+def test_shares_are_bounded(monkeypatch, kind):
+    r, n, most = random.Random(kind), 40, 2_000
+    word = lambda k: bytes(r.choices(b"abcdefgh", k=k))
+    core, pairs = word(50), [word(30) for _ in range(60)]
+    texts = {"passage": [word(r.randint(1, 20)) + core + word(r.randint(1, 20)) for _ in range(400)], "pairs": [r.choice(pairs) + core + r.choice(pairs) for _ in range(400)], "period": [word(3) + b"z" * k + word(3) for k in range(n, 300)]}[kind]
+    texts = list(dict.fromkeys(texts))
+    owned = [len(x) - n + 1 for x in texts]
+    seen = Counter(x[i : i + n] for x, k in zip(texts, owned) for i in range(k))
+    want = [[seen[x[i : i + n]] > 1 for i in range(k)] for x, k in zip(texts, owned)]
+    sizes, plain = [], suffix_dedup.repeated
+    monkeypatch.setattr(suffix_dedup, "repeated", lambda t, *more: sizes.append(sum(map(len, t))) or plain(t, *more))
+    assert [x.tolist() for x in repeated_in_shares(texts, owned, n, most)] == want
+    assert max(sizes) <= most
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_common_prefixes(seed):
     r = np.random.default_rng(seed)
